@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventclock.operators import axes, features
+from eventclock.operators import axes, features, labels
 from eventclock.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,10 +32,18 @@ def _features() -> tuple[dict[str, Query], dict[str, str]]:
     return found, sql
 
 
+def _labels() -> tuple[dict[str, Query], dict[str, str]]:
+    found, sql = {}, {}
+    for name in labels.LABELERS:
+        found[f"label_{name}"] = lambda spark, sf_dir, name=name: labels.build(tables.bars(spark, sf_dir), name)
+        sql[f"label_{name}"] = labels.check(tables.bars_sql(), name)
+    return found, sql
+
+
 def _all() -> tuple[dict[str, Query], dict[str, str]]:
     found: dict[str, Query] = {}
     sql: dict[str, str] = {}
-    for part in (_axes, _features):
+    for part in (_axes, _features, _labels):
         q, s = part()
         found |= q
         sql |= s
