@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventclock.operators import axes, features, labels
+from eventclock.operators import axes, features, label_kernels, labels
 from eventclock.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,9 @@ def _labels() -> tuple[dict[str, Query], dict[str, str]]:
     for name in labels.LABELERS:
         found[f"label_{name}"] = lambda spark, sf_dir, name=name: labels.build(tables.bars(spark, sf_dir), name)
         sql[f"label_{name}"] = labels.check(tables.bars_sql(), name)
+    for name in label_kernels.KERNELS:
+        found[f"label_{name}"] = lambda spark, sf_dir, name=name: label_kernels.build(tables.bars(spark, sf_dir), name)
+    found["label_survival_bounds"] = lambda spark, sf_dir: label_kernels.survival_bounds(tables.bars(spark, sf_dir))
     return found, sql
 
 
