@@ -182,6 +182,7 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
 
         def close() -> Iterator[tuple]:
             rep, component, n, sketch, tile = (np.array(x) for x in zip(*held, strict=True))
+            sketch = sketch.view(np.uint64)  # bits of a signed number would be counted without its sign
             for a in range(0, len(rep), 128):
                 rows = slice(a, a + 128)
                 near = component[rows, None] != component[None, :]
