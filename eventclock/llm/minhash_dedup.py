@@ -5,12 +5,14 @@
    all ``SAMPLES`` samples folded into ``SKETCH_BITS`` parity bits.  The bits in which
    two sketches differ estimate how many samples differ.
 2. Documents with equal sets are one class; what follows looks at classes.
-3. In each bucket of a band a class meets a few pivots (the smallest of the bucket in
-   a few fixed orders), not all others.  Pairs whose sizes or sketches rule out the
-   wanted similarity go; the others are compared on their full sets.
+3. In each bucket of a band a class meets the bucket's smallest class only, not all
+   others.  Pairs whose sizes or sketches rule out the wanted similarity go; the others
+   are compared on their full sets.
 4. Buckets that still hold several components are compared across components, tile by
-   tile, again by sketches, then on full sets.  So a large group of near copies costs
-   work in proportion to its size, and pairs of different components all get compared.
+   tile: first by sketches, which leaves the classes that have a possible partner, then
+   those on their full sets.  What leaves a tile is a spanning forest of the links found
+   there, never its pairs.  So a large group of near copies costs work in proportion to
+   its size, and all pairs of different components get compared.
 
 Sketches only reject what lies ``SIGMAS`` standard deviations below the wanted
 similarity.  Bands are as long as they can be while a pair at the threshold shares no
@@ -35,7 +37,7 @@ from eventclock.llm.components import components
 from eventclock.llm.pieces import chunks
 from eventclock.llm.shingles import mix, shingle_sets
 
-SAMPLES, MISSED, SKETCH_BITS, SIGMAS, PIVOTS, TILE = 256, 1e-4, 1_024, 5.0, 3, 1_024
+SAMPLES, MISSED, SKETCH_BITS, SIGMAS, TILE = 256, 1e-4, 1_024, 5.0, 512
 _random = np.random.default_rng(11)
 _factor = _random.integers(0, 1 << 32, SAMPLES, np.uint32) | np.uint32(1)
 _offset = _random.integers(0, 1 << 32, SAMPLES, np.uint32)
@@ -141,27 +143,25 @@ def near_groups(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame
     classes = written(signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes", "none")
 
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    orders = [F.min("rep").alias("p0"), *[F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"p{k}") for k in range(1, PIVOTS)]]
     # a bucket with one class has nothing to compare
-    buckets = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), *orders).where("size > 1").drop("size")
+    buckets = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("p")).where("size > 1").drop("size")
     members = written(banded.join(buckets, ["band", "key"]), "members")
-    met = members.select("rep", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("p")).where("rep != p")
-    first = written(_with_facts(met.select(F.least("rep", "p").alias("u"), F.greatest("rep", "p").alias("v")).distinct(), classes, percent), "pairs")
+    met = members.where("rep != p").select(F.col("p").alias("u"), F.col("rep").alias("v")).distinct()
+    first = written(_with_facts(met, classes, percent), "pairs")
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-        return written(full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), words), "sets", "none")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return written(full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.distinct(), "doc_id", "left_semi"), words), "sets", "none")
 
-    sets = sets_of(first)
+    sets = sets_of(first.select(F.col("u").alias("doc_id")).union(first.select("v")))
     links = written(_verified(first, sets, percent), "links")
     groups = components(links)
 
     grouped = members.select("band", "key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = grouped.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("band", "key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
     rest = grouped.join(mixed, ["band", "key"]).join(classes.select("rep", "n", "sketch"), "rep")
-    second = written(_across(rest, percent).join(first, ["u", "v"], "left_anti"), "pairs")
-    more_sets = sets_of(second)
-    more = written(_verified(second, more_sets, percent), "links")
+    second = written(_possible(rest, percent), "possible")
+    more_sets = sets_of(second.select(F.col("rep").alias("doc_id")))
+    more = written(_across(second, more_sets, percent), "links")
     final = components(links.unionByName(more))
 
     out = signed.select("doc_id", "n", "d1", "d2").join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
@@ -169,44 +169,88 @@ def near_groups(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame
     return keep_alive(out.withColumn("kept", F.expr("doc_id <=> component_id")), signed, classes, final)
 
 
-def _across(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket that sizes and sketches leave."""
+_TILE = ["band", "key", "i", "j"]
+
+
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    """All rows of a tile in one partition, one after the other."""
+    return rows.repartition(*[F.col(k) for k in _TILE]).sortWithinPartitions(*_TILE).select(*_TILE, *columns)
+
+
+def _tiles(rows: Iterator[tuple]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with one tile key; a tile with one row has no pair."""
+    key, held = None, []
+    for row in rows:
+        if row[:4] != key:
+            if len(held) > 1:
+                yield key, held
+            key, held = row[:4], []
+        held.append(row[4:])
+    if len(held) > 1:
+        yield key, held
+
+
+def _possible(rest: DataFrame, percent: int) -> DataFrame:
+    """Classes of each tile that sizes and sketches leave a partner of another component."""
     most = most_differing(percent)
     tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     spread = rest.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    keys = ["band", "key", "i", "j"]
-    dealt = spread.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).select(*keys, "rep", "component", "n", "sketch", "tile")
+    dealt = _dealt(spread.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")), "rep", "component", "n", "sketch", "tile")
 
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
-        key, held = None, []
-
-        def close() -> Iterator[tuple]:
+        for key, held in _tiles(rows):
             rep, component, n, sketch, tile = (np.array(x) for x in zip(*held, strict=True))
             sketch = sketch.view(np.uint64)  # bits of a signed number would be counted without its sign
+            some = np.zeros(len(rep), bool)
             for a in range(0, len(rep), 128):
-                rows = slice(a, a + 128)
-                near = component[rows, None] != component[None, :]
-                low, high = np.minimum(n[rows, None], n[None, :]), np.maximum(n[rows, None], n[None, :])
-                near &= (100 * low >= percent * high) & (rep[rows, None] < rep[None, :])
+                part = slice(a, a + 128)
+                low, high = np.minimum(n[part, None], n), np.maximum(n[part, None], n)
+                near = (component[part, None] != component) & (100 * low >= percent * high)
                 if key[2] != key[3]:
-                    near &= tile[rows, None] != tile[None, :]
+                    near &= tile[part, None] != tile
                 p, q = np.nonzero(near)
                 for s in range(0, len(p), 65_536):
                     u, v = p[s : s + 65_536] + a, q[s : s + 65_536]
-                    left = np.bitwise_count(sketch[u] ^ sketch[v]).sum(axis=1, dtype=np.int64) <= most
-                    yield from zip(rep[u[left]].tolist(), rep[v[left]].tolist(), strict=True)
-
-        for row in rows:
-            if row[:4] != key:
-                if len(held) > 1:
-                    yield from close()
-                key, held = row[:4], []
-            held.append(row[4:])
-        if len(held) > 1:
-            yield from close()
-
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    return map_rows(dealt, kernel, schema, "u long, v long").distinct()
+                    some[u[np.bitwise_count(sketch[u] ^ sketch[v]).sum(axis=1, dtype=np.int64) <= most]] = True
+            for i in np.flatnonzero(some).tolist():
+                yield *key, *held[i]
+
+    kinds = [(c, pa.int64()) for c in (*_TILE, "rep", "component", "n")]
+    schema = pa.schema([*kinds, ("sketch", pa.list_(pa.int64())), ("tile", pa.int64())])
+    return map_rows(dealt, kernel, schema, "band long, key long, i long, j long, rep long, component long, n long, sketch array<long>, tile long", 1_000)
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components, found in each tile on full sets: a spanning forest of them."""
+    most = most_differing(percent)
+    rows = _dealt(members.join(sets.withColumnRenamed("id", "rep"), "rep"), "rep", "component", "n", "sketch", "tile", "shingles")
+
+    def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for key, held in _tiles(rows):
+            rep, component, n, sketch, tile = (np.array(x) for x in zip(*(h[:5] for h in held), strict=True))
+            sketch, sizes = sketch.view(np.uint64), np.array([len(h[5]) for h in held])
+            flat = np.concatenate([np.array(h[5], np.int64) for h in held])
+            _, flat = np.unique(flat, return_inverse=True)
+            begin = np.cumsum(sizes) - sizes
+            mine, group = np.zeros(int(flat.max()) + 1, np.int64), component.copy()
+            for i in range(len(rep) - 1):
+                low, high = np.minimum(n[i], n[i + 1 :]), np.maximum(n[i], n[i + 1 :])
+                other = np.flatnonzero((group[i + 1 :] != group[i]) & (100 * low >= percent * high)) + i + 1
+                if key[2] != key[3]:
+                    other = other[tile[other] != tile[i]]
+                other = other[np.bitwise_count(sketch[other] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= most]
+                if not len(other):
+                    continue
+                mine[flat[begin[i] : begin[i] + sizes[i]]] = 1
+                at = np.repeat(begin[other] - (np.cumsum(sizes[other]) - sizes[other]), sizes[other]) + np.arange(int(sizes[other].sum()))
+                shared = np.add.reduceat(mine[flat[at]], np.cumsum(sizes[other]) - sizes[other])
+                mine[flat[begin[i] : begin[i] + sizes[i]]] = 0
+                for j in other[100 * shared >= percent * (sizes[i] + sizes[other] - shared)].tolist():
+                    if group[i] != group[j]:
+                        yield int(rep[i]), int(rep[j])
+                        group[group == group[j]] = group[i]
+
+    return map_rows(rows, kernel, pa.schema([("u", pa.int64()), ("v", pa.int64())]), "u long, v long")
 
 
 def near_dedup(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
