@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventclock.operators import axes, features, label_kernels, labels
+from eventclock.operators import axes, features, joins, label_kernels, labels, models, performance, sizing, stats
+from eventclock.plans import cell, config
 from eventclock.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,10 +45,212 @@ def _labels() -> tuple[dict[str, Query], dict[str, str]]:
     return found, sql
 
 
+THRESH = 0.55
+
+
+def _sizing() -> tuple[dict[str, Query], dict[str, str]]:
+    found, sql = {}, {}
+    for mode in [*sizing.modes(THRESH), "cond_es", *sizing.AIMS]:
+        found[f"size_{mode}"] = lambda spark, sf_dir, mode=mode: sizing.size(tables.preds(spark, sf_dir), mode, THRESH)
+        sql[f"size_{mode}"] = sizing.size_check(tables.preds_sql(), mode, THRESH)
+    found["size_executed"] = lambda spark, sf_dir: sizing.executed(sizing.size(tables.preds(spark, sf_dir), "cdf_overlay", THRESH))
+    sql["size_executed"] = sizing.executed_check(sizing.size_check(tables.preds_sql(), "cdf_overlay", THRESH))
+    return found, sql
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    preds = tables.preds(spark, sf_dir)
+    return sizing.size(preds, "cdf_plain", THRESH).join(preds.select("key", "bar_ix", "lr"), ["key", "bar_ix"])
+
+
+def _sized_sql() -> str:
+    return f"SELECT s.*, b.lr FROM ({sizing.size_check(tables.preds_sql(), 'cdf_plain', THRESH)}) s JOIN {tables.bars_sql()} b USING (key, bar_ix)"
+
+
+def _performance() -> tuple[dict[str, Query], dict[str, str]]:
+    found: dict[str, Query] = {
+        "perf_score": lambda spark, sf_dir: performance.score(_sized(spark, sf_dir)),
+        "perf_cost_stress": lambda spark, sf_dir: performance.cost_stress(_sized(spark, sf_dir)),
+        "perf_underwater": lambda spark, sf_dir: performance.underwater(tables.curves(spark, sf_dir)),
+    }
+    sql = {"perf_score": performance.score_check(_sized_sql()), "perf_cost_stress": performance.cost_stress_check(_sized_sql()), "perf_underwater": performance.underwater_check(tables.curves_sql())}
+    for name in performance.AGGREGATES:
+        found[f"perf_{name}"] = lambda spark, sf_dir, name=name: performance.metric(tables.curves(spark, sf_dir), name)
+        sql[f"perf_{name}"] = performance.metric_check(tables.curves_sql(), name)
+    return found, sql
+
+
+def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.curves(spark, sf_dir).select("strategy", "t", "ret")
+
+
+def _first_curve(spark: SparkSession, sf_dir: str):
+    import numpy as np
+
+    return np.array([r.ret for r in _returns(spark, sf_dir).where("strategy = 'A'").orderBy("t").select("ret").collect()])
+
+
+def _matrix(spark: SparkSession, sf_dir: str):
+    grid = joins.common_grid(_returns(spark, sf_dir), 3).groupBy("t").pivot("strategy", ["A", "N", "R"]).agg(F.first("ret")).orderBy("t")
+    return grid.drop("t").toPandas().to_numpy(float)
+
+
+def _statistics() -> tuple[dict[str, Query], dict[str, str]]:
+    found: dict[str, Query] = {}
+    sql: dict[str, str] = {}
+    for name in stats.PROCEDURES:
+        found[f"stat_{name}"] = lambda spark, sf_dir, name=name: stats.procedure(tables.trials(spark, sf_dir), name)
+        sql[f"stat_{name}"] = stats.procedure_check(tables.trials_sql(), name)
+    found |= {
+        "stat_lond": lambda spark, sf_dir: stats.lond(tables.trials(spark, sf_dir)),
+        "stat_lo_factor": lambda spark, sf_dir: stats.lo_factor(_returns(spark, sf_dir)),
+        "stat_kaplan_meier": lambda spark, sf_dir: stats.kaplan_meier(tables.durations(spark, sf_dir)),
+        "stat_pair_correlations": lambda spark, sf_dir: stats.pair_correlations(_returns(spark, sf_dir)),
+        "stat_affinity": lambda spark, sf_dir: stats.affinity(tables.configs(spark, sf_dir)),
+        "stat_effective_trials": lambda spark, sf_dir: stats.effective_trials(stats.affinity(tables.configs(spark, sf_dir)), tables.configs(spark, sf_dir).count()),
+        "stat_screen_verdicts": lambda spark, sf_dir: stats.screen_verdicts(tables.screen(spark, sf_dir)).select("id", "edge", "verdict"),
+        "stat_bootstrap": lambda spark, sf_dir: stats.bootstrap(spark, _first_curve(spark, sf_dir)),
+        "stat_spa": lambda spark, sf_dir: spark.createDataFrame([stats.spa(spark, _matrix(spark, sf_dir))], "p_value double, statistic double"),
+        "stat_pbo": lambda spark, sf_dir: spark.createDataFrame([stats.pbo(_matrix(spark, sf_dir))], "pbo double, combinations long"),
+        "stat_deflated_calmar": lambda spark, sf_dir: stats.deflated_calmar(spark, _first_curve(spark, sf_dir), 8, 60),
+        "stat_deflated_calmar_spectrum": lambda spark, sf_dir: stats.deflated_calmar(spark, _first_curve(spark, sf_dir), 4, 30, True),
+    }
+    affinity = stats.affinity_check(tables.CONFIGS_SQL)
+    verdict = "CASE WHEN hold_trades < 80 THEN 'NO-BASELINE' WHEN method_calmar >= 8 OR abs(hold_calmar) < 0.05 AND method_calmar > 0.5 THEN 'ARTIFACT(cash)' WHEN method_calmar - hold_calmar > 0 AND val_auc > 0.55 AND trades > 80 THEN CASE WHEN method_calmar > 1 AND method_calmar - hold_calmar > 0.3 THEN 'STRONG' ELSE 'marginal' END ELSE 'NO-FIT' END"
+    sql |= {
+        "stat_lond": stats.lond_check(tables.trials_sql()),
+        "stat_lo_factor": stats.lo_factor_check(tables.curves_sql()),
+        "stat_kaplan_meier": stats.kaplan_meier_check(tables.DURATIONS_SQL),
+        "stat_pair_correlations": stats.pair_correlations_check(tables.curves_sql()),
+        "stat_affinity": affinity,
+        "stat_effective_trials": f"SELECT round(least(n, greatest(1.0, n * n / (n + 2 * s))), 6) AS n_eff FROM (SELECT coalesce(sum(r * r), 0.0) AS s FROM ({affinity})), (SELECT CAST(count(*) AS DOUBLE) AS n FROM {tables.CONFIGS_SQL})",
+        "stat_screen_verdicts": f"SELECT id, round(method_calmar - hold_calmar, 6) AS edge, {verdict} AS verdict FROM {tables.SCREEN_SQL}",
+    }
+    return found, sql
+
+
+def _joins() -> tuple[dict[str, Query], dict[str, str]]:
+    """Ticks of each event type against those of clicks, and trial tables against each other."""
+
+    def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = tables.ticks(spark, sf_dir)
+        return t.where("key = 'click'").select(F.explode(F.array(*[F.lit(k) for k in ("view", "signup", "error", "purchase")])).alias("key"), "ts", F.col("close").alias("sec"))
+
+    def others(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return tables.ticks(spark, sf_dir).where("key <> 'click'").select("key", "ts", "seq", "close")
+
+    ticks = tables.ticks_sql()
+    left, right = f"(SELECT key, ts, seq, close FROM {ticks} WHERE key <> 'click')", f"(SELECT ts, close AS sec FROM {ticks} WHERE key = 'click')"
+    found: dict[str, Query] = {
+        "join_asof": lambda spark, sf_dir: joins.asof(others(spark, sf_dir), clicks(spark, sf_dir), "sec"),
+        "join_asof_strict": lambda spark, sf_dir: joins.asof(others(spark, sf_dir), clicks(spark, sf_dir), "sec", strict=True),
+        "join_asof_lag": lambda spark, sf_dir: joins.asof(others(spark, sf_dir), clicks(spark, sf_dir), "sec", lag="7 DAYS"),
+        "join_asof_filled": lambda spark, sf_dir: joins.fill_leading(joins.asof(others(spark, sf_dir), clicks(spark, sf_dir), "sec"), "sec", "close"),
+        "join_enough": lambda spark, sf_dir: joins.enough(joins.asof(others(spark, sf_dir), clicks(spark, sf_dir), "sec"), "sec").groupBy("key").agg(F.count("sec").alias("n")),
+        "join_common_grid": lambda spark, sf_dir: joins.common_grid(_returns(spark, sf_dir), 3),
+        "join_semi": lambda spark, sf_dir: joins.when_listed(tables.read(spark, sf_dir, "customer"), tables.read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").select("c_custkey"),
+        "join_anti": lambda spark, sf_dir: joins.not_listed(tables.read(spark, sf_dir, "customer"), tables.read(spark, sf_dir, "orders").where("o_totalprice > 200000").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").select("c_custkey"),
+        "join_pending": lambda spark, sf_dir: joins.or_pending(tables.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), stats.screen_verdicts(tables.screen(spark, sf_dir)).where("trades > 100").select("id", "verdict"), "id"),
+        "join_matched": lambda spark, sf_dir: joins.matched(tables.preds(spark, sf_dir).select("key", "ts", F.col("p").alias("pred")), tables.preds(spark, sf_dir).where("split <> 'test'").select("key", "ts", (F.col("p") + 1e-3).alias("pred"))).select(F.round("max_diff", 9).alias("max_diff"), "unmatched"),
+        "join_ensemble": lambda spark, sf_dir: joins.ensemble(_members(spark, sf_dir)).select("key", "ts", F.round("pred", 9).alias("pred")),
+    }
+    verdicts = _statistics()[1]["stat_screen_verdicts"]
+    sql = {
+        "join_asof": f"SELECT l.*, r.sec FROM {left} l ASOF LEFT JOIN {right} r ON l.ts >= r.ts",
+        "join_asof_strict": f"SELECT l.*, r.sec FROM {left} l ASOF LEFT JOIN {right} r ON l.ts > r.ts",
+        "join_asof_lag": f"SELECT l.*, r.sec FROM {left} l ASOF LEFT JOIN (SELECT ts + INTERVAL 7 DAY AS ts, sec FROM {right}) r ON l.ts >= r.ts",
+        "join_asof_filled": f"SELECT l.*, coalesce(CASE WHEN r.sec > 0 THEN r.sec END, l.close) AS sec FROM {left} l ASOF LEFT JOIN {right} r ON l.ts >= r.ts",
+        "join_enough": f"SELECT key, count(sec) AS n FROM (SELECT l.*, r.sec FROM {left} l ASOF LEFT JOIN {right} r ON l.ts >= r.ts) GROUP BY key HAVING count(sec) >= greatest(300, count(*) / 2)",
+        "join_common_grid": f"SELECT strategy, t, ret FROM {tables.curves_sql()} WHERE t IN (SELECT t FROM {tables.curves_sql()} GROUP BY t HAVING count(DISTINCT strategy) = 3)",
+        "join_semi": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)",
+        "join_anti": "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
+        "join_pending": f"SELECT p.id, coalesce(v.verdict, 'PENDING') AS verdict FROM (SELECT p_partkey AS id FROM part) p LEFT JOIN (SELECT id, verdict FROM ({verdicts}) WHERE id % 200 > 100) v USING (id)",
+        "join_matched": f"SELECT round(max(abs(a.p - (b.p + 1e-3))), 9) AS max_diff, count(*) FILTER (a.p IS NULL OR b.p IS NULL) AS unmatched FROM {tables.preds_sql()} a FULL JOIN (SELECT * FROM {tables.preds_sql()} WHERE split <> 'test') b ON a.key = b.key AND a.ts = b.ts",
+        "join_ensemble": f"SELECT key, ts, round((p + (1 - p) / 2) / 2, 9) AS pred FROM {tables.preds_sql()} WHERE split <> 'val'",
+    }
+    return found, sql
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    preds = tables.preds(spark, sf_dir)
+    first = preds.select("key", "ts", F.lit("a").alias("member"), F.col("p").alias("pred"))
+    return first.unionByName(preds.where("split <> 'val'").select("key", "ts", F.lit("b").alias("member"), ((1 - F.col("p")) / 2).alias("pred")))
+
+
+def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with a panel of features and a label, ready to fit."""
+    bars = tables.bars(spark, sf_dir)
+    panel = features.build(bars, "panel")
+    names = [c for c in panel.columns if c not in ("key", "bar_ix")]
+    more = features.build(bars, "vol_ratio").select("key", "bar_ix", "vol_ratio_5", "vol_ratio_10")
+    rows = panel.join(more, ["key", "bar_ix"]).join(labels.build(bars, "ker_fast"), ["key", "bar_ix"]).join(bars.select("key", "bar_ix", "split"), ["key", "bar_ix"])
+    return models.masks(models.assembled(rows, [*names, "vol_ratio_5", "vol_ratio_10"]).select("key", "bar_ix", "split", "y", "x"), 20)
+
+
+def _models() -> tuple[dict[str, Query], dict[str, str]]:
+    def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+        preds = tables.preds(spark, sf_dir)
+        return preds.select("key", F.when(F.col("lr") > 0, 1).otherwise(0).alias("y"), F.round("p", 2).alias("score"))
+
+    def longs(spark: SparkSession, sf_dir: str) -> DataFrame:
+        mom = features.build(tables.bars(spark, sf_dir), "panel").join(tables.bars(spark, sf_dir).select("key", "bar_ix", "lr"), ["key", "bar_ix"])
+        parts = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in ("p_mom20", "p_abs5")]))
+        rows = mom.select("key", "bar_ix", F.when(F.col("lr") > 0, 1).otherwise(0).alias("y"), parts.alias("f"))
+        return rows.select("f.feature", "f.x", "y", F.concat_ws("/", "key", F.col("bar_ix").cast("string")).alias("id")).where("x IS NOT NULL")
+
+    panel = features.check(tables.bars_sql(), "panel")
+    long_sql = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x, CASE WHEN lr > 0 THEN 1 ELSE 0 END AS y, key || '/' || bar_ix AS id FROM ({panel}) JOIN {tables.bars_sql()} USING (key, bar_ix) WHERE {c} IS NOT NULL" for c in ("p_mom20", "p_abs5"))
+    label = f"(SELECT key, bar_ix, y, split FROM ({labels.check(tables.bars_sql(), 'ker_fast')}) JOIN {tables.bars_sql()} USING (key, bar_ix))"
+
+    def with_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bars = tables.bars(spark, sf_dir)
+        return labels.build(bars, "ker_fast").join(bars.select("key", "bar_ix", "split"), ["key", "bar_ix"])
+
+    found: dict[str, Query] = {
+        "model_auc": lambda spark, sf_dir: models.auc(scored(spark, sf_dir)),
+        "model_information": lambda spark, sf_dir: models.binned_information(longs(spark, sf_dir)),
+        "model_masks": lambda spark, sf_dir: models.masks(with_split(spark, sf_dir), 200),
+        "model_masks_purged": lambda spark, sf_dir: models.masks(with_split(spark, sf_dir), 200, True),
+        "model_permuted": lambda spark, sf_dir: models.permuted(with_split(spark, sf_dir)).groupBy("key").agg(F.sum("y").alias("ones"), F.count(F.lit(1)).alias("n")),
+        "model_folds": lambda spark, sf_dir: models.folds(with_split(spark, sf_dir)).groupBy("key", "fold").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col(f"train_{f}"), 1)).alias(f"n{f}") for f in range(3)]),
+        "cell": lambda spark, sf_dir: cell.run(tables.bars(spark, sf_dir), config.CellConfig("ALL", "tick", "ker_fast", 0.5, "cdf_plain", model="logit")),
+        "cell_meta": lambda spark, sf_dir: _meta(spark, sf_dir),
+    }
+    sql = {
+        "model_auc": models.auc_check(f"(SELECT key, CASE WHEN lr > 0 THEN 1 ELSE 0 END AS y, round(p, 2) AS score FROM {tables.preds_sql()})"),
+        "model_information": models.binned_information_check(f"({long_sql})"),
+        "model_masks": models.masks_check(label, 200),
+        "model_masks_purged": models.masks_check(label, 200, True),
+        "model_permuted": f"SELECT key, sum(y) AS ones, count(*) AS n FROM {label} WHERE split = 'train' AND y >= 0 GROUP BY key",
+        "model_folds": f"""
+WITH r AS (SELECT *, ntile(3) OVER (PARTITION BY key ORDER BY bar_ix) - 1 AS fold FROM {label} WHERE split = 'train' AND y >= 0),
+b AS (SELECT key, fold, min(bar_ix) AS lo, max(bar_ix) AS hi FROM r GROUP BY 1, 2)
+SELECT r.key, r.fold, count(DISTINCT r.bar_ix) AS n, {', '.join(f"count(CASE WHEN b.fold = {f} AND (r.bar_ix < b.lo - 200 OR r.bar_ix > b.hi + 200) THEN 1 END) AS n{f}" for f in range(3))} FROM r JOIN b USING (key) GROUP BY 1, 2""",
+    }
+    for method in models.REDUCERS:
+        found[f"reduce_{method}"] = lambda spark, sf_dir, m=method: _shown(models.reduce(_model_rows(spark, sf_dir), m, 5))
+    for name in models.MODELS:
+        found[f"fit_{name}"] = lambda spark, sf_dir, m=name: models.fit_scores(_model_rows(spark, sf_dir), m, rounds=8).select("key", "bar_ix", F.round("score", 6).alias("score"))
+    for kind in models.CALIBRATIONS:
+        found[f"calibrate_{kind}"] = lambda spark, sf_dir, k=kind: models.calibrate(models.fit_scores(_model_rows(spark, sf_dir), "logit"), k).select("key", "bar_ix", F.round("p", 6).alias("p"))
+    return found, sql
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    return rows.select("key", "bar_ix", F.transform(vector_to_array("x"), lambda v: F.round(v, 6)).alias("z"))
+
+
+def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = models.calibrate(models.fit_scores(_model_rows(spark, sf_dir), "logit"))
+    return models.meta(rows, THRESH).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("p") == 0, 1)).alias("closed"))
+
+
 def _all() -> tuple[dict[str, Query], dict[str, str]]:
     found: dict[str, Query] = {}
     sql: dict[str, str] = {}
-    for part in (_axes, _features, _labels):
+    for part in (_axes, _features, _labels, _sizing, _performance, _statistics, _joins, _models):
         q, s = part()
         found |= q
         sql |= s

@@ -64,3 +64,23 @@ def frame(preceding: int, following: int = 0, by: str = "key", order: str = "ts,
 def full(aggregate: str, column: str, size: int, window: str) -> str:
     """An aggregate over a frame, null until the frame holds ``size`` values."""
     return f"CASE WHEN count({column}) OVER {window} = {size} THEN {aggregate} OVER {window} END"
+
+
+def phi_inv(p: str) -> str:
+    """Quantile of the standard normal distribution, by Acklam's rational approximation (relative error below 1.2e-9)."""
+    # fixed values of the approximation
+    a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+    b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
+    c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+    d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+
+    def horner(values: tuple[float, ...], x: str) -> str:
+        text = repr(values[0])
+        for v in values[1:]:
+            text = f"({text} * {x} + ({v!r}))"
+        return text
+
+    r, low, high = f"(({p}) - 0.5)", f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - ({p})))"
+    rr = f"({r} * {r})"
+    tail = lambda q: f"{horner(c, q)} / ({horner(d, q)} * {q} + 1)"
+    return f"(CASE WHEN ({p}) <= 0 OR ({p}) >= 1 THEN NULL WHEN ({p}) < 0.02425 THEN {tail(low)} WHEN ({p}) > 0.97575 THEN -({tail(high)}) ELSE {horner(a, rr)} * {r} / ({horner(b, rr)} * {rr} + 1) END)"

@@ -26,17 +26,17 @@ DRAWDOWN = {
     "drawdown_area": "-sum(dd)",
     "max_dd_duration": "max(wet)",
     "martin_ratio": "CASE WHEN count(equity) < 2 OR min(first) <= 0 THEN 0.0 WHEN sqrt(avg(dd * dd)) <= 0 THEN CAST('Infinity' AS DOUBLE) "
-    "ELSE (power(max(CASE WHEN at = n THEN equity END) / min(first), 252.0 / (count(equity) - 1)) - 1) / sqrt(avg(dd * dd)) END",
+    "ELSE (power(max(CASE WHEN pos = n THEN equity END) / min(first), 252.0 / (count(equity) - 1)) - 1) / sqrt(avg(dd * dd)) END",
 }
-_at = {"at": f"row_number() OVER {S}"}
+_at = {"pos": f"row_number() OVER {S}"}
 
 RATIOS = {
     "n_days": "count(ret)",
     "sharpe": "avg(ret) / nullif(stddev_samp(ret), 0.0) * sqrt(252.0)",
     "skew": "avg(z * z * z)",
     "kurt": "avg(z * z * z * z)",
-    "sharpe_early": "avg(CASE WHEN at <= n / 2 THEN ret END) / nullif(stddev_samp(CASE WHEN at <= n / 2 THEN ret END), 0.0) * sqrt(252.0)",
-    "sharpe_late": "avg(CASE WHEN at > n / 2 THEN ret END) / nullif(stddev_samp(CASE WHEN at > n / 2 THEN ret END), 0.0) * sqrt(252.0)",
+    "sharpe_early": "avg(CASE WHEN pos <= n / 2 THEN ret END) / nullif(stddev_samp(CASE WHEN pos <= n / 2 THEN ret END), 0.0) * sqrt(252.0)",
+    "sharpe_late": "avg(CASE WHEN pos > n / 2 THEN ret END) / nullif(stddev_samp(CASE WHEN pos > n / 2 THEN ret END), 0.0) * sqrt(252.0)",
 }
 _moments = (_at | {"n": "CAST(count(ret) OVER (PARTITION BY strategy) AS DOUBLE)", "mu": "avg(ret) OVER (PARTITION BY strategy)", "sd": "stddev_samp(ret) OVER (PARTITION BY strategy)"}, {"z": "(ret - mu) / nullif(sd, 0.0)"})
 
@@ -48,7 +48,7 @@ BETTING = (
 )
 
 CHANGE = (
-    {"n": "count(ret) OVER (PARTITION BY strategy)", "mu": "avg(ret) OVER (PARTITION BY strategy)", "sd": "stddev_samp(ret) OVER (PARTITION BY strategy)", "at": f"row_number() OVER {S} - 1"},
+    {"n": "count(ret) OVER (PARTITION BY strategy)", "mu": "avg(ret) OVER (PARTITION BY strategy)", "sd": "stddev_samp(ret) OVER (PARTITION BY strategy)", "pos": f"row_number() OVER {S} - 1"},
     {"c": f"sum(ret - mu) OVER {S}"},
     # the sum held below zero is the running sum less its highest value so far, or zero
     {"low": f"c - greatest(0.0, max(c) OVER {S})"},
@@ -76,8 +76,8 @@ AGGREGATES: dict[str, tuple[tuple[dict[str, str], ...], dict[str, str]]] = {
         },
     ),
     "evalue": (BETTING, {"e_value": "max_by(wealth, t)", "highest": "max(wealth)", "first_over_20": "min(CASE WHEN wealth >= 20 THEN seen + 1 END)"}),
-    "cusum": (CHANGE, {"change_at": "min(CASE WHEN n >= 8 AND low <= -4 * sd THEN at END)"}),
-    "page_hinkley": (CHANGE, {"change_at": "min(CASE WHEN n >= 8 AND sd > 0 AND low <= -4 * sd THEN at END)"}),
+    "cusum": (CHANGE, {"change_at": "min(CASE WHEN n >= 8 AND low <= -4 * sd THEN pos END)"}),
+    "page_hinkley": (CHANGE, {"change_at": "min(CASE WHEN n >= 8 AND sd > 0 AND low <= -4 * sd THEN pos END)"}),
     "regime_split": (
         (
             {"rms": "sqrt(avg(ret * ret) OVER (PARTITION BY strategy ORDER BY t ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))", "k": f"row_number() OVER {S}"},
