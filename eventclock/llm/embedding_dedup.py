@@ -10,7 +10,7 @@ share a direction are compared in double precision; a pair counts under the smal
 direction that both share, so no list of all pairs is made or made distinct.
 
 The number of directions grows with the number of vectors, the bound follows from it,
-so each vector meets ``FILED`` directions on average at every size.  Equal vectors
+so a vector meets ``FILED`` directions or more at every size.  Equal vectors
 (label and all components) are one representative with a count.  A direction with more
 than ``TILE`` vectors is compared tile by tile in separate groups.
 
@@ -40,7 +40,7 @@ class ProductCode:
 
     def __init__(self, dim: int, per_part: int, filed: float = FILED, seed: int = 7):
         random = np.random.default_rng([seed, dim, per_part])
-        self.per_part, cuts = per_part, np.linspace(0, dim, PARTS + 1).astype(int)
+        self.per_part, self.filed, cuts = per_part, filed, np.linspace(0, dim, PARTS + 1).astype(int)
         turn, _ = np.linalg.qr(random.standard_normal((dim, dim)))
         self.codes = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -50,7 +50,8 @@ class ProductCode:
         self.bound = NormalDist().inv_cdf(1 - min(0.5, filed / per_part**PARTS)) / np.sqrt(dim)
 
     def decode(self, vectors: np.ndarray) -> list[np.ndarray]:
-        """Numbers of all directions above the bound for each unit vector, ascending."""
+        """Numbers of all directions above the bound for each unit vector, ascending; the bound
+        sinks for vectors with fewer than ``filed`` of them."""
         part = [vectors @ c.T for c in self.codes]
         n, k = len(vectors), self.per_part
         first = (part[0][:, :, None] + part[1][:, None, :]).reshape(n, k * k)
@@ -59,9 +60,14 @@ class ProductCode:
         out = []
         for i in range(n):
             down = second[i][order[i]]
-            heads = np.flatnonzero(first[i] + down[0] > self.bound)
-            counts = np.searchsorted(-down, first[i][heads] - self.bound, side="left")
-            total = int(counts.sum())
+            bound = self.bound
+            while True:
+                heads = np.flatnonzero(first[i] + down[0] > bound)
+                counts = np.searchsorted(-down, first[i][heads] - bound, side="left")
+                total = int(counts.sum())
+                if total >= min(self.filed, k**PARTS):
+                    break
+                bound -= 0.05 * abs(self.bound) + 1e-3  # an uneven vector is far from all directions: file it under its nearest
             at = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
             out.append(np.sort(np.repeat(heads, counts) * (k * k) + order[i][at]))
         return out
