@@ -42,9 +42,10 @@ def remainder(key: Column, n: int) -> Column:
 def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each subword of all texts, and the number of each text's; order by text."""
     raw = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    data = _symbol[np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)]
+    # two borders between texts: no subword holds parts of both
+    data = _symbol[np.frombuffer(b"  ".join([b"", *raw, b""]), np.uint8)]
     border = data == 32
-    stops = np.cumsum([len(r) + 1 for r in raw])
+    stops = np.cumsum([len(r) + 2 for r in raw])
     owner_at = np.concatenate([[0], stops])
     wide = data.astype(np.uint32)
     found, counts = [], np.zeros(len(texts), np.int64)
