@@ -91,7 +91,7 @@ class Transducer:
     most_states: when so many states are known they are forgotten, which bounds memory.
     """
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 60_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 150_000):
         self.ranks, self.rules, self.most_states = ranks, MergeRules(ranks), most_states
         self.child: dict[int, int] = {}
         self.token = [-1]
@@ -116,6 +116,7 @@ class Transducer:
         self.known: dict[tuple, int] = {}
         self.rest: list[tuple[int, ...]] = []
         self.arcs: dict[int, tuple[tuple[int, ...], int]] = {}
+        self.fits: dict[int, bool] = {}
         self._state(((-1, (), 0),))
 
     def _state(self, hypotheses: tuple) -> int:
@@ -127,27 +128,37 @@ class Transducer:
         return found
 
     def _arc(self, state: int, c: int) -> tuple[tuple[int, ...], int]:
-        out = []
+        out, child, inner, token, fits, shift = [], self.child.get, self.inner, self.token, self.fits, self.rules.shift
         for last, pending, node in self.states[state]:
-            to = self.child.get(node << 8 | c)
+            to = child(node << 8 | c)
             if to is None:
                 continue
-            if self.inner[to]:
+            if inner[to]:
                 out.append((last, pending, to))
-            t = self.token[to]
-            if t >= 0 and (last < 0 or self.rules.adjacent(last, t)):
-                out.append((t, (*pending, t), 0))
+            t = token[to]
+            if t >= 0:
+                ok = last < 0
+                if not ok:
+                    pair = last << shift | t
+                    ok = fits.get(pair)
+                    if ok is None:
+                        ok = fits[pair] = self.rules.adjacent(last, t)
+                if ok:
+                    out.append((t, (*pending, t), 0))
         first, agreed = out[0][1], 0
-        while agreed < len(first) and all(len(p) > agreed and p[agreed] == first[agreed] for _, p, _ in out):
-            agreed += 1
-        arc = self.arcs[state << 8 | c] = first[:agreed], self._state(tuple((a, p[agreed:], n) for a, p, n in out))
+        if first:
+            while agreed < len(first) and all(len(p) > agreed and p[agreed] == first[agreed] for _, p, _ in out):
+                agreed += 1
+            if agreed:
+                out = [(a, p[agreed:], n) for a, p, n in out]
+        arc = self.arcs[state << 8 | c] = first[:agreed], self._state(tuple(out))
         return arc
 
     def encode(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.most_states:
+        if len(self.states) > self.most_states or len(self.fits) > 4 * self.most_states:
             self._forget()
         arcs, state, out = self.arcs.get, 0, []
         for c in data:
