@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import time
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
@@ -56,17 +57,37 @@ def drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Seconds that a table stays after nothing in Python refers to it: a query derived from it may still run.
+LINGER_S = 600
+_unused: list[tuple[float, SparkSession, str]] = []
+
+
+def _sweep(age: float) -> None:
+    old = [x for x in _unused if time.monotonic() - x[0] >= age]
+    _unused[:] = [x for x in _unused if x not in old]
+    for _, spark, path in old:
+        drop(spark, path)
+
+
+atexit.register(_sweep, 0)
+
+
+def _release(spark: SparkSession, path: str) -> None:
+    _unused.append((time.monotonic(), spark, path))
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes a table in the shared folder and reads it back: cuts lineage, survives lost executors.
 
-    The files go when the DataFrame that is returned, and all made from it through
-    ``keep_alive``, are no longer referenced.
+    The files go some time after the DataFrame that is returned, and all made from it
+    through ``keep_alive``, are no longer referenced, or at the program's end.
     """
     spark = df.sparkSession
+    _sweep(LINGER_S)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
-    weakref.finalize(back, drop, spark, path)
+    weakref.finalize(back, _release, spark, path)
     return back
 
 
