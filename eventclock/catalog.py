@@ -184,7 +184,7 @@ def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = [c for c in panel.columns if c not in ("key", "bar_ix")]
     more = features.build(bars, "vol_ratio").select("key", "bar_ix", "vol_ratio_5", "vol_ratio_10")
     rows = panel.join(more, ["key", "bar_ix"]).join(labels.build(bars, "ker_fast"), ["key", "bar_ix"]).join(bars.select("key", "bar_ix", "split"), ["key", "bar_ix"])
-    return models.masks(models.assembled(rows, [*names, "vol_ratio_5", "vol_ratio_10"]).select("key", "bar_ix", "split", "y", "x"), 20)
+    return models.masks(models.assembled(rows, [*names, "vol_ratio_5", "vol_ratio_10"]).select("key", "bar_ix", "split", "y", "x"), 20).persist()
 
 
 def _models() -> tuple[dict[str, Query], dict[str, str]]:

@@ -138,7 +138,7 @@ class Moments:
 
     @classmethod
     def of(cls, train: DataFrame, method: str = "pearson") -> Moments:
-        d = train.agg(Summarizer.mean("x").alias("m"), Summarizer.std("x").alias("s"), F.count(F.lit(1)).alias("n")).first()
+        d = train.agg(Summarizer.mean(F.col("x")).alias("m"), Summarizer.std(F.col("x")).alias("s"), F.count(F.lit(1)).alias("n")).first()
         mean, scale = d.m.toArray(), d.s.toArray() * math.sqrt((d.n - 1) / max(1, d.n))
         both = VectorAssembler(inputCols=["x", "y"], outputCol="xy").transform(train.select("x", F.col("y").cast("double").alias("y")))
         full = np.nan_to_num(Correlation.corr(both, "xy", method).first()[0].toArray())

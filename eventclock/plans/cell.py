@@ -50,7 +50,7 @@ def predictions(bars: DataFrame, config: CellConfig) -> DataFrame:
     for labeler in config.labeler.split("+"):
         y = labelled(bars, labeler)
         rows = models.assembled(x.join(y, ["key", "bar_ix"]).join(bars.select("key", "bar_ix", "ts", "seq", "split", "lc", "lr"), ["key", "bar_ix"]), names)
-        rows = models.masks(rows.select("key", "bar_ix", "ts", "seq", "split", "lc", "lr", "y", "x"), models.embargo(config.horizons or (50, 100, 200), reach_of(labeler)), config.train_purge)
+        rows = models.masks(rows.select("key", "bar_ix", "ts", "seq", "split", "lc", "lr", "y", "x"), models.embargo(config.horizons or (50, 100, 200), reach_of(labeler)), config.train_purge).persist()
         if config.permute_labels:
             dealt = models.permuted(rows).select("key", "bar_ix", F.col("y").alias("__y"))
             rows = rows.join(dealt, ["key", "bar_ix"], "left").withColumn("y", F.coalesce("__y", "y")).drop("__y")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from eventclock.operators import axes, features, label_kernels, labels, models, sizing
+from eventclock.operators import axes, label_kernels, labels, models, sizing
 
 SIZINGS = (*sizing.modes(0.5), "cond_es")
 AXES = tuple(axes.AXES)
@@ -80,4 +80,3 @@ class CellConfig:
 BASE_BLOCKS = ("momentum", "zmomentum", "rolling", "kurtosis", "vol_ratio", "above_ma", "rsi", "bollinger")
 ADDED = {"rich": ("variance_ratio",), "calendar": ("calendar",), "ddstate": ("ddstate",), "wangrich": ("differences",), "realyield": ("rate_level",), "vix": ("implied_vol",), "iv": ("implied_vol",)}
 ADDED_KERNELS = {"evt": ("evt",), "disp": ("dispersion",), "sig": ("signature",), "regime": ("regime",)}
-KNOWN_BLOCKS = set(features.BLOCKS)
