@@ -36,6 +36,7 @@ from eventclock.llm.common import bounded_batches, keep_alive, map_rows, text_co
 from eventclock.llm.components import components
 from eventclock.llm.pieces import chunks
 from eventclock.llm.shingles import mix, shingle_sets
+from eventclock.llm.url_filter import BITS_PER_RULE, BLOCK_BITS, BROADCAST_BLOCKS, bloom_filter, probe
 
 SAMPLES, MISSED, SKETCH_BITS, SIGMAS, TILE = 256, 1e-4, 1_024, 5.0, 512
 _random = np.random.default_rng(11)
@@ -115,6 +116,18 @@ def full_sets(docs: DataFrame, words: int = 5) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long"), text_column(docs).alias("text")), kernel, schema, "id long, shingles array<long>", 200)
 
 
+def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the listed documents. A Bloom filter of bounded size drops most others
+    where they are read, so their texts don't enter the join that decides."""
+    blocks = min(BROADCAST_BLOCKS, max(1, -(-ids.count() * BITS_PER_RULE // BLOCK_BITS)))
+    block, words = probe(F.col("doc_id"), blocks)
+    bits = range(len(words))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"block": block, **{f"b{k}": words[k] for k in bits}})
+    bloom = F.broadcast(bloom_filter(ids.select(F.col("doc_id").alias("key")), blocks))
+    passed = rows.join(bloom, "block").where(" and ".join(f"(w{k} & b{k}) = b{k}" for k in bits)).select("doc_id", "text")
+    return passed.join(ids, "doc_id", "left_semi")
+
+
 def _similar_size(percent: int) -> Column:
     return F.expr(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
 
@@ -150,7 +163,7 @@ def near_groups(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame
     first = written(_with_facts(met, classes, percent), "pairs")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return written(full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.distinct(), "doc_id", "left_semi"), words), "sets", "none")
+        return written(full_sets(_chosen(docs, written(ids.distinct(), "ids")), words), "sets", "none")
 
     sets = sets_of(first.select(F.col("u").alias("doc_id")).union(first.select("v")))
     links = written(_verified(first, sets, percent), "links")

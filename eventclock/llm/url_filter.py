@@ -35,7 +35,7 @@ def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataF
     return spark.createDataFrame(rules, "verdict string, host string, path string")
 
 
-def _probe(key: Column, blocks: int) -> tuple[Column, list[Column]]:
+def probe(key: Column, blocks: int) -> tuple[Column, list[Column]]:
     """Block of a key, and the bit it sets in each of the block's words."""
     bits, one = F.xxhash64(key, F.lit(1)), F.lit(1).cast("long")
     at = [F.shiftrightunsigned(bits, 6 * k).bitwiseAND(F.lit(63)).cast("int") for k in range(BLOCK_BITS // 64)]
@@ -44,7 +44,7 @@ def _probe(key: Column, blocks: int) -> tuple[Column, list[Column]]:
 
 def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
     """One row for each block with bits: block, w0..w3."""
-    block, words = _probe(F.col("key"), blocks)
+    block, words = probe(F.col("key"), blocks)
     return keys.select(block.alias("block"), *[w.alias(f"w{k}") for k, w in enumerate(words)]).groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(len(words))])
 
 
@@ -66,7 +66,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     starts = F.transform(F.filter(sizes, lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
     keys = F.flatten(F.transform(above, lambda h: F.transform(starts, lambda p: F.concat(h, p))))
     tried = urls.where("host != '' or path != ''").select("host", "path", F.explode(keys).alias("key"))
-    block, words = _probe(F.col("key"), blocks)
+    block, words = probe(F.col("key"), blocks)
     probes = tried.select("*", block.alias("block"), *[w.alias(f"b{k}") for k, w in enumerate(words)])
     passed = probes.join(bloom, "block").where(" and ".join(f"(w{k} & b{k}) = b{k}" for k in range(len(words)))).select("host", "path", "key")
     exact = passed.join(listed, "key")
