@@ -28,6 +28,9 @@ def _features() -> tuple[dict[str, Query], dict[str, str]]:
     for name in features.BLOCKS:
         found[f"feat_{name}"] = lambda spark, sf_dir, name=name: features.build(tables.bars(spark, sf_dir), name)
         sql[f"feat_{name}"] = features.check(tables.bars_sql(), name)
+    for name in features.DRIVEN:
+        found[f"feat_{name}"] = lambda spark, sf_dir, name=name: features.build(tables.driven_bars(spark, sf_dir), name)
+        sql[f"feat_{name}"] = features.check(tables.driven_bars_sql(), name)
     for name in features.KERNELS:
         found[f"feat_{name}"] = lambda spark, sf_dir, name=name: features.build_kernel(tables.bars(spark, sf_dir), name)
     sql["feat_regime"] = features.regime_check(tables.bars_sql())

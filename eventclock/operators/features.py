@@ -38,8 +38,8 @@ def _block(*parts: dict[str, str]) -> Block:
 
 
 def _z(x: str, n: int, kind: str = "stddev_samp") -> str:
-    """Distance from the window's mean in its deviations."""
-    return f"({x} - ({full(f'avg({x})', x, n, back(n))})) / (({full(f'{kind}({x})', x, n, back(n))}) + 1e-12)"
+    """Distance from the window's mean in its deviations; the rounding makes it zero in a window without spread."""
+    return f"round({x} - ({full(f'avg({x})', x, n, back(n))}), 12) / (({full(f'{kind}({x})', x, n, back(n))}) + 1e-12)"
 
 
 def _kurtosis(x: str, n: int, engine: str = "") -> str:
@@ -134,15 +134,37 @@ BLOCKS: dict[str, Block] = {
     ),
 }
 
+#: Blocks that also read ``drv`` (log level of an outside series, as of the bar) and ``slp``.
+_roll = lambda x, n: f"sum(coalesce({x}, 0.0)) OVER {back(n)}"
+DRIVEN: dict[str, Block] = {
+    "termstruct": _block(
+        {"ratio": "lc - drv", "dm": f"drv - lag(drv) OVER {O}"},
+        {
+            "ts_ratio": "ratio", **{f"ts_z{w}": _z("ratio", w) for w in (20, 60, 200)}, **{f"ts_d{k}": _returns("ratio", k) for k in (10, 40)},
+            **{f"ts_mom{k}": _returns("drv", k) for k in (1, 5, 20)}, **{f"ts_vol{w}": full("stddev_samp(dm)", "dm", w, back(w)) for w in (20, 60)}, **{f"ts_drv_z{w}": _z("drv", w) for w in (60, 200)},
+        },
+    ),
+    "realyield": _block(
+        {"ry_level": "drv", **{f"ry_z{w}": _z("drv", w) for w in (60, 252)}, **{f"ry_d{k}": _returns("drv", k) for k in (5, 20, 60)}, "ry_slope": "slp", "ry_slope_z252": _z("slp", 252), "ry_slope_d20": _returns("slp", 20)},
+    ),
+    "oilbasis": _block(
+        {"gap": f"drv - lag(drv) OVER {O} - lr"},
+        {
+            **{f"ob_roll{w}": f"CASE WHEN row_number() OVER {O} >= {w} THEN {_roll('gap', w)} END" for w in (20, 60, 120)}, **{f"ob_mom{k}": _returns("drv", k) for k in (5, 20)},
+            **{f"ob_z{w}": f"CASE WHEN count(drv) OVER {frame(w, -1)} = {w} THEN round(drv - avg(drv) OVER {frame(w, -1)}, 12) / (stddev_samp(drv) OVER {frame(w, -1)} + 1e-12) END" for w in (60, 252)},
+        },
+    ),
+}
+
 
 def build(bars: DataFrame, name: str) -> DataFrame:
     """key, bar_ix and the columns of the named block."""
-    block = BLOCKS[name]
+    block = (BLOCKS | DRIVEN)[name]
     return steps(bars, *block.steps).select("key", "bar_ix", *[(F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c) for c in block.columns])
 
 
 def check(source: str, name: str) -> str:
-    block = BLOCKS[name]
+    block = (BLOCKS | DRIVEN)[name]
     return f"SELECT key, bar_ix, {', '.join(f'round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}' for c in block.columns)} FROM {steps_sql(source, *block.steps)}"
 
 

@@ -137,3 +137,20 @@ def screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCREEN_SQL = "(SELECT p_partkey AS id, round(p_retailprice % 97 / 10, 6) AS method_calmar, round(p_retailprice % 13 / 10, 6) AS hold_calmar, CAST(p_size * 10 AS BIGINT) AS hold_trades, round(0.4 + p_partkey % 40 / 100, 6) AS val_auc, CAST(p_partkey % 200 AS BIGINT) AS trades FROM part)"
+
+
+def driven_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars with two outside series, known one day after their date."""
+    from eventclock.operators.joins import asof
+
+    days = read(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").alias("ts")).agg(F.log(F.round(F.avg("o_totalprice"), 6)).alias("drv"), F.log(F.count(F.lit(1)).cast("double")).alias("slp"))
+    keys = F.explode(F.array(*[F.lit(k) for k in ("A", "N", "R")])).alias("key")
+    joined = bars(spark, sf_dir)
+    for value in ("drv", "slp"):
+        joined = asof(joined, days.select(keys, "ts", value), value, lag="1 DAY")
+    return joined
+
+
+def driven_bars_sql() -> str:
+    days = "(SELECT o_orderdate + INTERVAL 1 DAY AS ts, ln(round(avg(o_totalprice), 6)) AS drv, ln(CAST(count(*) AS DOUBLE)) AS slp FROM orders GROUP BY o_orderdate)"
+    return f"(SELECT b.*, d.drv, d.slp FROM {bars_sql()} b ASOF LEFT JOIN {days} d ON b.ts >= d.ts)"
