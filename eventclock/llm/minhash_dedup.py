@@ -103,17 +103,17 @@ def signatures(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long"), text_column(docs).alias("text")), kernel, schema, "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>", 1_000)
 
 
-def full_sets(docs: DataFrame, words: int = 5) -> DataFrame:
-    """id, n and the set of shingle hashes of each row."""
+def full_sets(docs: DataFrame, words: int = 5, packed: bool = False) -> DataFrame:
+    """id and the set of shingle hashes of each row; packed: as bytes, for kernels."""
     bounded_batches(docs.sparkSession)
 
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
         for group in chunks(rows, 1):
             for (doc, _), own in zip(group, shingle_sets([t for _, t in group], words), strict=True):
-                yield doc, own.view(np.int64).tolist()
+                yield doc, own.astype("<u8").tobytes() if packed else own.view(np.int64).tolist()
 
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-    return map_rows(docs.select(F.col("doc_id").cast("long"), text_column(docs).alias("text")), kernel, schema, "id long, shingles array<long>", 200)
+    schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary() if packed else pa.list_(pa.int64()))])
+    return map_rows(docs.select(F.col("doc_id").cast("long"), text_column(docs).alias("text")), kernel, schema, f"id long, shingles {'binary' if packed else 'array<long>'}", 200)
 
 
 def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -162,8 +162,8 @@ def near_groups(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame
     met = members.where("rep != p").select(F.col("p").alias("u"), F.col("rep").alias("v")).distinct()
     first = written(_with_facts(met, classes, percent), "pairs")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        return written(full_sets(_chosen(docs, written(ids.distinct(), "ids")), words), "sets", "none")
+    def sets_of(ids: DataFrame, packed: bool = False) -> DataFrame:
+        return written(full_sets(_chosen(docs, written(ids.distinct(), "ids")), words, packed), "sets", "none")
 
     sets = sets_of(first.select(F.col("u").alias("doc_id")).union(first.select("v")))
     links = written(_verified(first, sets, percent), "links")
@@ -173,7 +173,7 @@ def near_groups(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame
     mixed = grouped.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("band", "key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
     rest = grouped.join(mixed, ["band", "key"]).join(classes.select("rep", "n", "sketch"), "rep")
     second = written(_possible(rest, percent), "possible")
-    more_sets = sets_of(second.select(F.col("rep").alias("doc_id")))
+    more_sets = sets_of(second.select(F.col("rep").alias("doc_id")), packed=True)
     more = written(_across(second, more_sets, percent), "links")
     final = components(links.unionByName(more))
 
@@ -241,8 +241,8 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
         for key, held in _tiles(rows):
             rep, component, n, sketch, tile = (np.array(x) for x in zip(*(h[:5] for h in held), strict=True))
-            sketch, sizes = sketch.view(np.uint64), np.array([len(h[5]) for h in held])
-            flat = np.concatenate([np.array(h[5], np.int64) for h in held])
+            sketch, sizes = sketch.view(np.uint64), np.array([len(h[5]) // 8 for h in held])
+            flat = np.frombuffer(b"".join(h[5] for h in held), "<u8")
             _, flat = np.unique(flat, return_inverse=True)
             begin = np.cumsum(sizes) - sizes
             mine, group = np.zeros(int(flat.max()) + 1, np.int64), component.copy()
