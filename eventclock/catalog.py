@@ -233,7 +233,7 @@ SELECT r.key, r.fold, count(DISTINCT r.bar_ix) AS n, {', '.join(f"count(CASE WHE
     for method in models.REDUCERS:
         found[f"reduce_{method}"] = lambda spark, sf_dir, m=method: _shown(models.reduce(_model_rows(spark, sf_dir), m, 5))
     for name in models.MODELS:
-        found[f"fit_{name}"] = lambda spark, sf_dir, m=name: models.fit_scores(_model_rows(spark, sf_dir), m, rounds=8).select("key", "bar_ix", F.round("score", 6).alias("score"))
+        found[f"fit_{name}"] = lambda spark, sf_dir, m=name: models.fit_scores(_model_rows(spark, sf_dir), m).select("key", "bar_ix", F.round("score", 6).alias("score"))
     for kind in models.CALIBRATIONS:
         found[f"calibrate_{kind}"] = lambda spark, sf_dir, k=kind: models.calibrate(models.fit_scores(_model_rows(spark, sf_dir), "logit"), k).select("key", "bar_ix", F.round("p", 6).alias("p"))
     return found, sql

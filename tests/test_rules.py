@@ -1,5 +1,6 @@
 """Hand-computed values and properties."""
 
+import inspect
 import itertools
 import math
 
@@ -153,3 +154,26 @@ def test_reducers(spark):
     for method in models.REDUCERS:
         out = models.reduce(rows, method, 3)
         assert out.count() == 400 and 1 <= len(out.first()["x"]) <= 4
+
+
+def test_boosting_stops_on_val_by_each_patience():
+    aucs = [0.6, 0.7] + [0.65] * 50 + [0.8] + [0.65] * 147
+    assert [models.stop_round(aucs, models.PATIENCE[m]) for m in ("xgb", "xgb_es100", "lgbm", "catboost")] == [2, 53, 2, 2]
+    assert "xgb_fixed" not in models.PATIENCE
+
+
+def test_boosting_runs_all_rounds(spark):
+    from pyspark.ml.linalg import Vectors
+
+    g = np.random.default_rng(0)
+    x = g.normal(size=(300, 3))
+    y = (x[:, 0] + g.normal(size=300) > 0).astype(int)
+    rows = spark.createDataFrame([("k", i, int(y[i]), i < 200, i >= 200, Vectors.dense(x[i])) for i in range(300)], ["key", "bar_ix", "y", "fits", "judges", "x"])
+    assert inspect.signature(models.fit_scores).parameters["rounds"].default == 200
+    train, judged = rows.where("fits").select("x", F.col("y").cast("double"), F.lit(1.0).alias("w")), rows.where("judges").select("x", "y")
+    trees, kept = models.boosted(train, judged, "xgb_fixed", 3, 20, 0.03)[0]
+    assert len(trees.trees) == kept == 20
+    assert trees.weights[1:] == pytest.approx(0.03)
+    pos, neg = (trees.margins(x[200:][y[200:] == v]) for v in (1, 0))
+    want = [((pos[:, k, None] > neg[:, k]) + 0.5 * (pos[:, k, None] == neg[:, k])).mean() for k in range(20)]
+    assert trees.aucs(judged) == pytest.approx(want, abs=1e-6)
