@@ -87,12 +87,6 @@ def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.curves(spark, sf_dir).select("strategy", "t", "ret")
 
 
-def _first_curve(spark: SparkSession, sf_dir: str):
-    import numpy as np
-
-    return np.array([r.ret for r in _returns(spark, sf_dir).where("strategy = 'A'").orderBy("t").select("ret").collect()])
-
-
 def _matrix(spark: SparkSession, sf_dir: str):
     grid = joins.common_grid(_returns(spark, sf_dir), 3).groupBy("t").pivot("strategy", ["A", "N", "R"]).agg(F.first("ret")).orderBy("t")
     return grid.drop("t").toPandas().to_numpy(float)
@@ -112,11 +106,11 @@ def _statistics() -> tuple[dict[str, Query], dict[str, str]]:
         "stat_affinity": lambda spark, sf_dir: stats.affinity(tables.configs(spark, sf_dir)),
         "stat_effective_trials": lambda spark, sf_dir: stats.effective_trials(stats.affinity(tables.configs(spark, sf_dir)), tables.configs(spark, sf_dir).count()),
         "stat_screen_verdicts": lambda spark, sf_dir: stats.screen_verdicts(tables.screen(spark, sf_dir)).select("id", "edge", "verdict"),
-        "stat_bootstrap": lambda spark, sf_dir: stats.bootstrap(spark, _first_curve(spark, sf_dir)),
+        "stat_bootstrap": lambda spark, sf_dir: stats.bootstrap(_returns(spark, sf_dir)),
         "stat_spa": lambda spark, sf_dir: spark.createDataFrame([stats.spa(spark, _matrix(spark, sf_dir))], "p_value double, statistic double"),
         "stat_pbo": lambda spark, sf_dir: spark.createDataFrame([stats.pbo(_matrix(spark, sf_dir))], "pbo double, combinations long"),
-        "stat_deflated_calmar": lambda spark, sf_dir: stats.deflated_calmar(spark, _first_curve(spark, sf_dir), 8, 60),
-        "stat_deflated_calmar_spectrum": lambda spark, sf_dir: stats.deflated_calmar(spark, _first_curve(spark, sf_dir), 4, 30, True),
+        "stat_deflated_calmar": lambda spark, sf_dir: stats.deflated_calmar(_returns(spark, sf_dir), 8),
+        "stat_deflated_calmar_spectrum": lambda spark, sf_dir: stats.deflated_calmar(_returns(spark, sf_dir), 4, spectrum=True),
     }
     affinity = stats.affinity_check(tables.CONFIGS_SQL)
     verdict = "CASE WHEN hold_trades < 80 THEN 'NO-BASELINE' WHEN method_calmar >= 8 OR abs(hold_calmar) < 0.05 AND method_calmar > 0.5 THEN 'ARTIFACT(cash)' WHEN method_calmar - hold_calmar > 0 AND val_auc > 0.55 AND trades > 80 THEN CASE WHEN method_calmar > 1 AND method_calmar - hold_calmar > 0.3 THEN 'STRONG' ELSE 'marginal' END ELSE 'NO-FIT' END"

@@ -152,7 +152,7 @@ def effective_trials(pairs: DataFrame, n: int) -> DataFrame:
     return pairs.agg(F.round(F.least(F.lit(float(n)), F.greatest(F.lit(1.0), F.lit(float(n * n)) / (n + 2 * F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0.0))))), 6).alias("n_eff"))
 
 
-# --- resampling: one task per block of replicates; returns of one strategy or matrix travel with the closure ---
+# --- resampling: one task per block of replicates; a matrix of returns travels with the closure ---
 
 
 def stationary_index(n: int, block: float, random: np.random.Generator) -> np.ndarray:
@@ -197,12 +197,35 @@ def replicates(spark: SparkSession, count: int, draw, seed: int = 42, blocks: in
     return spark.range(0, count, 1, min(count, blocks)).mapInPandas(run, "replicate long, value double")
 
 
-def bootstrap(spark: SparkSession, x: np.ndarray, count: int = 500, block: float = 20, statistic=sharpe) -> DataFrame:
-    x = np.asarray(x, float)
-    return replicates(spark, count, lambda g: statistic(x[stationary_index(len(x), block, g)]))
+def of_each(returns: DataFrame, count: int, draw, seed: int = 42, blocks: int = 16) -> DataFrame:
+    """strategy, real, replicate, value of every strategy: draw(returns in order) gives the real value and a function of a generator.
 
+    A replicate's seed is its number; the curve of a strategy goes to one task per block.
+    """
+    by = returns.groupBy("strategy").agg(F.sort_array(F.collect_list(F.struct("t", "ret"))).getField("ret").alias("x"))
+    spark = returns.sparkSession
+    tasks = by.crossJoin(spark.range(blocks).withColumnRenamed("id", "block")).repartition(4 * spark.sparkContext.defaultParallelism)
 
-def spa(spark: SparkSession, matrix: np.ndarray, count: int = 500, block: float = 20) -> tuple[float, float]:
+    def run(batches):
+        for part in batches:
+            for strategy, x, block in zip(part["strategy"], part["x"], part["block"], strict=True):
+                real, one = draw(np.asarray(x, float))
+                ids = list(range(block, count, blocks))
+                yield pd.DataFrame({"strategy": strategy, "real": real, "replicate": ids, "value": [float(one(np.random.default_rng([seed, i]))) for i in ids]})
+
+    return tasks.mapInPandas(run, "strategy string, real double, replicate long, value double")
+
+
+def bootstrap(returns: DataFrame, count: int = 2000, block: float = 20, statistic=sharpe) -> DataFrame:
+    """strategy, replicate, value; input strategy, t, ret."""
+
+    def draw(x: np.ndarray):
+        return float(statistic(x)), lambda g: statistic(x[stationary_index(len(x), block, g)])
+
+    return of_each(returns, count, draw).drop("real")
+
+
+def spa(spark: SparkSession, matrix: np.ndarray, count: int = 2000, block: float = 20) -> tuple[float, float]:
     """P-value and statistic of the test for superior ability over columns of relative returns."""
     n = len(matrix)
     mean, spread = matrix.mean(axis=0), np.maximum(matrix.std(axis=0), 1e-12)
@@ -242,16 +265,20 @@ def pbo(matrix: np.ndarray, splits: int = 16, most: int = 1_000) -> tuple[float,
     return float((np.log(w / (1 - w)) <= 0).mean()), len(combos)
 
 
-def deflated_calmar(spark: SparkSession, x: np.ndarray, trials: int, sets: int = 200, spectrum: bool = False) -> DataFrame:
-    """real, median, p95, p_value, passed: the curve's Calmar against the best of as many curves without drift."""
-    flat, real = x - x.mean(), float(calmar(x))
+def deflated_calmar(returns: DataFrame, trials: int, sets: int = 400, spectrum: bool = False) -> DataFrame:
+    """strategy, real, median, p95, p_value, passed: each curve's Calmar against the best of as many curves without drift."""
 
-    def draw(g: np.random.Generator) -> float:
-        paths = [surrogate(flat, g) if spectrum else flat[stationary_index(len(flat), 10, g)] for _ in range(trials)]
-        return float(calmar(np.array(paths)).max())
+    def draw(x: np.ndarray):
+        flat = x - x.mean()
+
+        def one(g: np.random.Generator) -> float:
+            paths = [surrogate(flat, g) if spectrum else flat[stationary_index(len(flat), 10, g)] for _ in range(trials)]
+            return float(calmar(np.array(paths)).max())
+
+        return float(calmar(x)), one
 
-    found = replicates(spark, sets, draw, 44).agg(F.percentile("value", F.lit(0.5)).alias("median"), F.percentile("value", F.lit(0.95)).alias("p95"), F.avg((F.col("value") >= real).cast("double")).alias("p_value"))
-    return found.select(F.lit(real).alias("real"), "median", "p95", "p_value", (F.lit(real) > F.col("p95")).alias("passed"))
+    found = of_each(returns, sets, draw, 44).groupBy("strategy").agg(F.max("real").alias("real"), F.percentile("value", F.lit(0.5)).alias("median"), F.percentile("value", F.lit(0.95)).alias("p95"), F.avg((F.col("value") >= F.col("real")).cast("double")).alias("p_value"))
+    return found.withColumn("passed", F.col("real") > F.col("p95"))
 
 
 # --- ledgers ---

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from eventclock import catalog
 from eventclock.operators import axes, clocks, label_kernels, models, performance, stats
 from eventclock.plans.config import CellConfig
 from eventclock.sources import tables
@@ -177,3 +178,21 @@ def test_boosting_runs_all_rounds(spark):
     pos, neg = (trees.margins(x[200:][y[200:] == v]) for v in (1, 0))
     want = [((pos[:, k, None] > neg[:, k]) + 0.5 * (pos[:, k, None] == neg[:, k])).mean() for k in range(20)]
     assert trees.aucs(judged) == pytest.approx(want, abs=1e-6)
+
+
+def test_resampling_covers_every_curve(spark):
+    found = catalog.queries()["stat_bootstrap"](spark, DATA).groupBy("strategy").count().collect()
+    assert {r.strategy: r["count"] for r in found} == {"A": 2000, "N": 2000, "R": 2000}
+    for name in ("stat_deflated_calmar", "stat_deflated_calmar_spectrum"):
+        rows = catalog.queries()[name](spark, DATA).collect()
+        assert sorted(r.strategy for r in rows) == ["A", "N", "R"]
+        assert all(r.p_value * 400 == pytest.approx(round(r.p_value * 400)) and r.passed == (r.real > r.p95) for r in rows)
+
+
+def test_replicates_are_those_of_the_curve(spark):
+    x = np.random.default_rng(3).normal(0, 0.01, 120)
+    rows = spark.createDataFrame([(s, t, float(x[t] * k)) for s, k in (("a", 1), ("b", 2)) for t in reversed(range(120))], "strategy string, t long, ret double")
+    want = [stats.sharpe(x[stats.stationary_index(120, 20, np.random.default_rng([42, i]))]) for i in range(40)]
+    found = stats.bootstrap(rows, 40).orderBy("strategy", "replicate").collect()
+    assert [r.value for r in found] == pytest.approx(want * 2)
+    assert inspect.signature(stats.spa).parameters["count"].default == 2000
