@@ -499,26 +499,53 @@ def calm_mixture(b: Bars) -> Iterator[Try]:
             yield y, min(ones, 1 - ones) + 0.01 * min((y >= 0).sum() / 1000, 1)
 
 
-def ward(x: np.ndarray, k: int, most: int = 600) -> np.ndarray:
-    """Centres of k clusters by Ward's merging; beyond ``most`` rows, of that many k-means cells."""
-    if len(x) > most:
-        own, centres = two_means(x, np.ones(len(x), bool), most, 5)
-        sizes = np.bincount(own, minlength=most).astype(float)
-        centres, sizes = centres[sizes > 0], sizes[sizes > 0]
-    else:
-        centres, sizes = x.copy(), np.ones(len(x))
-    cost = (sizes[:, None] * sizes / (sizes[:, None] + sizes)) * ((centres[:, None] - centres) ** 2).sum(axis=2)
-    np.fill_diagonal(cost, np.inf)
-    alive = len(centres)
-    while alive > k:
-        i, j = np.unravel_index(cost.argmin(), cost.shape)
-        centres[i] = (sizes[i] * centres[i] + sizes[j] * centres[j]) / (sizes[i] + sizes[j])
-        sizes[i], sizes[j] = sizes[i] + sizes[j], 0
-        new = sizes[i] * sizes / (sizes[i] + sizes) * ((centres - centres[i]) ** 2).sum(axis=1)
-        new[(sizes == 0) | (np.arange(len(sizes)) == i)] = np.inf
-        cost[i], cost[:, i], cost[j], cost[:, j] = new, new, np.inf, np.inf
+def ward(x: np.ndarray, counts: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """Centres of each of several numbers of clusters, from one chain of nearest neighbours.
+
+    Ward's cost never falls as clusters merge, so the merges of the chain in order of cost
+    are those of the greedy method; memory is linear in the rows.
+    """
+    n = alive = len(x)
+    c, w = np.array(x, float), np.ones(n)
+    slot, place = np.arange(n), np.arange(n)  # the living clusters are the first ``alive`` in c and w
+    merges: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    while alive > 1:
+        if not chain:
+            chain.append(int(slot[0]))
+        while True:
+            i = place[chain[-1]]
+            cost = w[i] * w[:alive] / (w[i] + w[:alive]) * ((c[:alive] - c[i]) ** 2).sum(axis=1)
+            cost[i] = np.inf
+            j = int(cost.argmin())
+            if len(chain) > 1 and cost[place[chain[-2]]] <= cost[j]:
+                j = int(place[chain[-2]])
+                break
+            chain.append(int(slot[j]))
+        one, other = chain.pop(), chain.pop()
+        merges.append((float(cost[j]), one, other))
+        i, j = place[one], place[other]
+        c[i], w[i] = (w[i] * c[i] + w[j] * c[j]) / (w[i] + w[j]), w[i] + w[j]
         alive -= 1
-    return centres[sizes > 0]
+        c[j], w[j], slot[j] = c[alive], w[alive], slot[alive]
+        place[slot[j]] = j
+    merges = [merges[m] for m in np.argsort([m[0] for m in merges], kind="stable")]
+    root = np.arange(n)
+
+    def top(v: int) -> int:
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    found = {}
+    for m in range(n):
+        if n - m in counts:
+            own = np.array([top(v) for v in range(n)])
+            found[n - m] = np.array([x[own == r].mean(axis=0) for r in np.unique(own)])
+        if m < len(merges):
+            root[top(merges[m][2])] = top(merges[m][1])
+    return found
 
 
 def merged(b: Bars) -> Iterator[Try]:
@@ -526,8 +553,8 @@ def merged(b: Bars) -> Iterator[Try]:
         calm = _calm(b, h)
         x = np.stack([b.forward(h), np.abs(b.forward(h))], axis=1)[calm]
         train = b.train[calm]
-        for k in (2, 3, 4) if train.sum() >= 100 else ():
-            centres = ward(x[train], k)
+        found = ward(x[train], (2, 3, 4)) if train.sum() >= 100 else {}
+        for _, centres in sorted(found.items()):
             own = ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
             y = np.full(b.n, -1)
             y[calm] = own == centres[:, 0].argmax()

@@ -196,3 +196,19 @@ def test_replicates_are_those_of_the_curve(spark):
     found = stats.bootstrap(rows, 40).orderBy("strategy", "replicate").collect()
     assert [r.value for r in found] == pytest.approx(want * 2)
     assert inspect.signature(stats.spa).parameters["count"].default == 2000
+
+
+def test_ward_merges_all_rows():
+    r = np.random.default_rng(0).normal(size=700)
+    x = np.stack([r, np.abs(r)], axis=1)
+    centres, sizes = x.copy(), np.ones(len(x))
+    found = label_kernels.ward(x, (2, 3, 4))
+    while len(centres) > 2:  # greedy, over all pairs
+        cost = sizes[:, None] * sizes / (sizes[:, None] + sizes) * ((centres[:, None] - centres) ** 2).sum(axis=2)
+        np.fill_diagonal(cost, np.inf)
+        i, j = np.unravel_index(cost.argmin(), cost.shape)
+        centres[i] = (sizes[i] * centres[i] + sizes[j] * centres[j]) / (sizes[i] + sizes[j])
+        sizes[i] += sizes[j]
+        centres, sizes = np.delete(centres, j, axis=0), np.delete(sizes, j)
+        if len(centres) in found:
+            assert np.allclose(sorted(map(tuple, centres)), sorted(map(tuple, found[len(centres)])))
