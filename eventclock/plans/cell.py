@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce as fold
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventclock.operators import features, label_kernels, labels, models, performance, sizing
-from eventclock.plans.config import ADDED, ADDED_KERNELS, BASE_BLOCKS, CellConfig
+from eventclock.plans.config import ADDED, ADDED_KERNELS, BASE_BLOCKS, BASE_KERNELS, CellConfig
 
 
 def bars_of(clock: DataFrame, cuts: tuple[str, str]) -> DataFrame:
@@ -29,18 +30,29 @@ def reach_of(labeler: str) -> int:
     return labels.LABELERS[labeler].reach if labeler in labels.LABELERS else label_kernels.KERNELS[labeler][2]
 
 
-def featured(bars: DataFrame, kind: str, least_bars: int = 100) -> tuple[DataFrame, list[str]]:
-    """Feature columns of the base and the set; windows longer than a series' bars are left out."""
-    parts = [features.build(bars, b) for b in (*BASE_BLOCKS, *ADDED.get(kind, ()))] + [features.build_kernel(bars, k) for k in ADDED_KERNELS.get(kind, ())]
-    names = [c for p in parts for c in p.columns if c not in ("key", "bar_ix")]
+def featured(bars: DataFrame, kind: str) -> tuple[DataFrame, list[str]]:
+    """Feature columns of the base and the set.
+
+    A column that no bar of a series can fill, as its window is longer than the series, is zero
+    for that series; one that no series can fill is left out.
+    """
+    blocks = (*BASE_BLOCKS, *ADDED.get(kind, ()))
+    if missing := [b for b in blocks if b in features.DRIVEN and not {"drv", "slp"} <= set(bars.columns)]:
+        raise ValueError(f"bars without outside series for {missing}")
+    parts = [features.build(bars, b) for b in blocks] + [features.build_kernel(bars, k) for k in (*BASE_KERNELS, *ADDED_KERNELS.get(kind, ()))]
     seen: set[str] = set()
     kept = []
     for p in parts:
         own = [c for c in p.columns if c not in ("key", "bar_ix") and c not in seen]
         seen |= set(own)
         kept.append(p.select("key", "bar_ix", *own))
-    names = list(dict.fromkeys(n for n in names if not any(n.endswith(f"_{w}") for w in (200, 400, 800))))
-    return fold(lambda a, b: a.join(b, ["key", "bar_ix"]), kept), names
+    x = fold(lambda a, b: a.join(b, ["key", "bar_ix"]), kept).persist()
+    names = [c for c in x.columns if c not in ("key", "bar_ix")]
+    by_key = x.groupBy("key").agg(*[F.count(c).alias(c) for c in names])
+    least, most = (by_key.agg(*[f(c).alias(c) for c in names]).first() for f in (F.min, F.max))
+    names = [c for c in names if most[c]]
+    of_key = W.partitionBy("key")
+    return x.select("key", "bar_ix", *[F.col(c) if least[c] else F.when(F.count(c).over(of_key) == 0, 0.0).otherwise(F.col(c)).alias(c) for c in names]), names
 
 
 def predictions(bars: DataFrame, config: CellConfig) -> DataFrame:

@@ -78,5 +78,6 @@ class CellConfig:
 
 #: Blocks of features.py that each feature set adds to the base.
 BASE_BLOCKS = ("momentum", "zmomentum", "rolling", "kurtosis", "vol_ratio", "above_ma", "rsi", "bollinger")
-ADDED = {"rich": ("variance_ratio",), "calendar": ("calendar",), "ddstate": ("ddstate",), "wangrich": ("differences",), "realyield": ("rate_level",), "vix": ("implied_vol",), "iv": ("implied_vol",)}
+BASE_KERNELS = ("sample_entropy",)
+ADDED = {"termstruct": ("termstruct",), "oilbasis": ("oilbasis",), "rich": ("variance_ratio",), "calendar": ("calendar",), "ddstate": ("ddstate",), "wangrich": ("differences",), "realyield": ("rate_level",), "vix": ("implied_vol",), "iv": ("implied_vol",)}
 ADDED_KERNELS = {"evt": ("evt",), "disp": ("dispersion",), "sig": ("signature",), "regime": ("regime",)}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from eventclock import catalog
 from eventclock.operators import axes, clocks, label_kernels, models, performance, stats
+from eventclock.plans import cell
 from eventclock.plans.config import CellConfig
 from eventclock.sources import tables
 
@@ -212,3 +213,22 @@ def test_ward_merges_all_rows():
         centres, sizes = np.delete(centres, j, axis=0), np.delete(sizes, j)
         if len(centres) in found:
             assert np.allclose(sorted(map(tuple, centres)), sorted(map(tuple, found[len(centres)])))
+
+
+def test_windows_go_only_where_they_do_not_fit(spark):
+    bars = tables.bars(spark, DATA)
+    most = bars.groupBy("key").count().agg(F.max("count")).first()[0]
+    short = bars.where("key <> 'A' OR bar_ix < 300")
+    x, names = cell.featured(short, "base")
+    assert {"sampen_50_1", "sampen_move_100", "std_200", "kurt_lr_200", "above_200"} <= set(names)
+    assert ("std_800" in names) == (most >= 800)
+    row = x.where("key = 'A' AND bar_ix = 299").first()
+    assert row.std_200 is not None and row.std_400 == 0 and row.mean_800 == 0
+    assert x.where("key = 'N' AND bar_ix < 399 AND std_400 IS NOT NULL").count() == 0
+
+
+def test_driven_sets_are_built_or_raise(spark):
+    with pytest.raises(ValueError):
+        cell.featured(tables.bars(spark, DATA), "termstruct")
+    x, names = cell.featured(tables.driven_bars(spark, DATA), "oilbasis")
+    assert {"ob_roll20", "ob_z252"} <= set(names)
