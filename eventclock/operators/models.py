@@ -11,6 +11,8 @@ the round of the best VAL AUC, as the PATIENCE of each finds it.
 from __future__ import annotations
 
 import math
+import pickle
+import tempfile
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -249,19 +251,29 @@ class Bottleneck:
                     m1 += 0.1 * (d - m1)
                     m2 += 0.001 * (d * d - m2)
                     p -= 0.003 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-        self.w, self.b = w[:2], b[:2]
+        self.w, self.b, self.rows = w[:2], b[:2], len(x)
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(x @ self.w[0] + self.b[0]) @ self.w[1] + self.b[1]
 
 
-#: TRAIN rows an auto-encoder is fitted on at most (smallest hashes).
-ENCODER_SAMPLE = 20_000
+def fitted_bottleneck(train: DataFrame, m: Moments, n: int, variational: bool) -> Bottleneck:
+    """Trained on all rows by one task, which keeps them in a file and reads one mini-batch at a time."""
+    mean, scale = m.mean, m.scale
+
+    def run(batches):
+        with tempfile.TemporaryFile() as file:
+            for part in batches:
+                file.write(np.ascontiguousarray((np.array(part["x"].tolist(), float) - mean) / scale).tobytes())
+            file.flush()
+            yield pd.DataFrame({"net": [pickle.dumps(Bottleneck(np.memmap(file, float, "r").reshape(-1, len(mean)), n, variational=variational))]})
+
+    rows = train.select(F.xxhash64("key", "bar_ix").alias("h"), "key", "bar_ix", vector_to_array("x").alias("x")).repartition(1).sortWithinPartitions("h", "key", "bar_ix")
+    return pickle.loads(rows.select("x").mapInPandas(run, "net binary").first().net)
 
 
 def _encoded(train: DataFrame, rows: DataFrame, m: Moments, n: int, variational: bool) -> DataFrame:
-    sample = train.orderBy(F.xxhash64("key", "bar_ix")).limit(ENCODER_SAMPLE).select(vector_to_array("x").alias("x")).toPandas()
-    net = Bottleneck((np.array(sample["x"].tolist()) - m.mean) / m.scale, n, variational=variational)
+    net = fitted_bottleneck(train, m, n, variational)
     mean, scale = m.mean, m.scale
 
     @F.pandas_udf("array<double>")

@@ -232,3 +232,12 @@ def test_driven_sets_are_built_or_raise(spark):
         cell.featured(tables.bars(spark, DATA), "termstruct")
     x, names = cell.featured(tables.driven_bars(spark, DATA), "oilbasis")
     assert {"ob_roll20", "ob_z252"} <= set(names)
+
+
+def test_encoders_fit_on_all_rows(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    rows = spark.range(21_000).select(F.lit("k").alias("key"), F.col("id").alias("bar_ix"), array_to_vector(F.array(F.rand(1), F.rand(2))).alias("x"))
+    m = models.Moments(np.zeros(2), np.ones(2), np.eye(2), np.zeros(2))
+
+    assert models.fitted_bottleneck(rows, m, 1, False).rows == 21_000
