@@ -6,6 +6,7 @@ A machine's state is its attributes; the same machine serves batch jobs and stre
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import deque
 
 
@@ -29,6 +30,17 @@ class Reset:
         return 0.0
 
 
+class Surprise(Reset):
+    """As Reset, over the surprise of the range that a value lies in."""
+
+    def __init__(self, threshold: float, edges: list[float], table: list[float]):
+        super().__init__(threshold)
+        self.edges, self.table = edges, table
+
+    def step(self, x: float) -> bool:
+        return super().step(self.table[bisect_right(self.edges, x)])
+
+
 class AbsReset(Reset):
     """As Reset, by the size of a signed sum."""
 
@@ -217,6 +229,27 @@ class Slope:
         return done
 
 
+def rises(strengths: list[float], threshold: float) -> int:
+    """Times that a strength rises to the threshold after it was below half of it."""
+    n, armed = 0, True
+    for z in strengths:
+        if armed and z >= threshold:
+            armed, n = False, n + 1
+        if z < threshold / 2:
+            armed = True
+    return n
+
+
+class Above:
+    """Each value of the threshold or more ends a bar."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+
+    def step(self, x: float) -> bool:
+        return x >= self.threshold
+
+
 class Edge:
     """A bar ends when a statistic rises to the threshold from below."""
 

@@ -281,7 +281,8 @@ def build_kernel(bars: DataFrame, name: str) -> DataFrame:
             out[c] = v
         return out.astype(object).where(out.notna(), None)
 
-    return bars.select("key", "bar_ix", "lc").groupBy("key").applyInPandas(over, "key string, bar_ix long, " + ", ".join(f"{c} double" for c in columns))
+    found = bars.select("key", "bar_ix", "lc").groupBy("key").applyInPandas(over, "key string, bar_ix long, " + ", ".join(f"{c} double" for c in columns))
+    return found.select("key", "bar_ix", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in columns])
 
 
 def regime_check(source: str) -> str:
@@ -291,4 +292,4 @@ WITH v AS (SELECT *, {lr} AS vol FROM {source}),
 m AS (SELECT *, CASE WHEN count(vol) OVER {back(252)} >= 25 THEN quantile_cont(vol, 0.5) OVER {back(252)} END AS med FROM v),
 h AS MATERIALIZED (SELECT key, bar_ix, lr, CASE WHEN coalesce(vol > med, false) THEN 1.0 ELSE 0.0 END AS high FROM m),
 c AS (SELECT a.key, a.bar_ix, count(*) AS n, count(*) FILTER (b.lr <= a.lr) AS below FROM h a JOIN h b ON a.key = b.key AND a.high = b.high AND b.bar_ix < a.bar_ix GROUP BY 1, 2)
-SELECT key, bar_ix, CAST(high AS DOUBLE) AS regime_high, CASE WHEN n > 5 THEN below / n - 0.5 END AS regime_position FROM h LEFT JOIN c USING (key, bar_ix)"""
+SELECT key, bar_ix, CAST(high AS DOUBLE) AS regime_high, CASE WHEN n > 5 THEN round(below / n - 0.5, 6) + 0.0 END AS regime_position FROM h LEFT JOIN c USING (key, bar_ix)"""

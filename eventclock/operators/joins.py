@@ -26,6 +26,11 @@ def asof(left: DataFrame, right: DataFrame, value: str, ts: str = "ts", key: str
     return filled.where(F.col("__row").isNotNull()).select("__row.*", F.col("__v").alias(value))
 
 
+def ingest(ticks: DataFrame, other: DataFrame, value: str) -> DataFrame:
+    """key, ts, close, volume and the other series' last value, zero before its first."""
+    return asof(ticks, other, value).select("key", "ts", "close", "volume", F.coalesce(value, F.lit(0.0)).alias(value))
+
+
 def fill_leading(joined: DataFrame, value: str, own: str) -> DataFrame:
     """Zero or less counts as missing; what is still missing takes the row's own value."""
     usable = F.when(F.col(value) > 0, F.col(value))

@@ -279,13 +279,16 @@ def sign_memory(b: Bars) -> Iterator[Try]:
                 all_lags.append(np.where(size > 1e-12, (x * y).mean(axis=1) / np.where(size > 1e-12, size, 1), np.nan))
             lags = np.array(all_lags)
             known = np.isfinite(lags).sum(axis=0)
-            return np.where(known > 0, np.nansum(lags, axis=0) / np.maximum(known, 1), np.nan)
+            return np.round(np.where(known > 0, np.nansum(lags, axis=0) / np.maximum(known, 1), np.nan), 12)
 
         yield from strong(b, b.ahead(h, memory, np.sign(b.lr)), b.forward(h), (0.4, 0.5, 0.6))
 
 
 def information_flow(b: Bars) -> Iterator[Try]:
-    """What a symbol two back adds about the next, in bits; symbols are TRAIN thirds of returns ahead."""
+    """What the symbol before adds about the next beyond the one two back, in bits; symbols are TRAIN thirds of returns ahead.
+
+    Sizes of equal counts must tie, so they lie on a grid; so do those of ``sign_memory``.
+    """
     for h in (50, 100, 200):
         if b.n <= h + 1:
             continue
@@ -303,7 +306,7 @@ def information_flow(b: Bars) -> Iterator[Try]:
             return -(q * np.log(np.where(q > 0, q, 1))).reshape(len(q), -1).sum(axis=1)
 
         bits = (entropy(p.sum(axis=1)) + entropy(p.sum(axis=2)) - entropy(p.sum(axis=(1, 2))) - entropy(p)) / math.log(2)
-        flow[: len(bits)] = np.maximum(bits, 0)
+        flow[: len(bits)] = np.round(np.maximum(bits, 0), 12)
         yield from strong(b, flow, b.forward(h), (0.4, 0.5, 0.6))
 
 

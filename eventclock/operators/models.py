@@ -2,34 +2,30 @@
 
 Input of all: key, bar_ix, split, y and a vector column of features.  Linear reducers
 need the features' covariance only, which Spark aggregates; what they give is a small
-projection matrix applied to every row in Arrow batches.  Boosted trees are Spark's; the
-gradient-boosting libraries of other engines are not used, so names that stand for them
-share one model of 200 rounds at 0.03 with the same depth.  All but xgb_fixed are cut at
-the round of the best VAL AUC, as the PATIENCE of each finds it.
+projection matrix applied to every row in Arrow batches.  Encoders and classifiers are
+numpy models (``learners``) that one task each fits on the TRAIN bars of a cell; a bag's
+members are fitted side by side, and rows are scored in Arrow batches.
 """
 
 from __future__ import annotations
 
 import math
 import pickle
-import tempfile
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.stat import Correlation, Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventclock.functions.dialect import steps, steps_sql
+from eventclock.operators import learners
 
 KEY = "(PARTITION BY key)"
 
@@ -154,6 +150,12 @@ class Moments:
         return Projection(self.mean, self.scale, np.eye(len(self.mean))[:, columns])
 
 
+def scaler(train: DataFrame) -> DataFrame:
+    """feature (its place), mean, scale of TRAIN; a feature without spread keeps its scale."""
+    rows = train.select(F.posexplode(vector_to_array("x")).alias("feature", "v")).groupBy("feature").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+    return rows.select("feature", "mean", F.when(F.col("sd") > 1e-12, F.col("sd")).otherwise(1.0).alias("scale"))
+
+
 def _pruned(m: Moments, limit: float = 0.9) -> list[int]:
     """Columns of which no two correlate beyond the limit; of two the one with less variance goes, of equals the later."""
     keep: list[int] = []
@@ -194,6 +196,7 @@ def _supervised(m: Moments, n: int) -> Projection:
     """Principal components of the features that correlate most with the label."""
     pick = np.argsort(-np.abs(m.with_y), kind="stable")[: 2 * n]
     values, vectors = np.linalg.eigh(m.corr[np.ix_(pick, pick)])
+    vectors *= np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(values))] < 0, -1, 1)
     matrix = np.zeros((len(m.mean), min(n, len(pick))))
     matrix[pick] = vectors[:, ::-1][:, :n]
     return Projection(m.mean, m.scale, matrix)
@@ -219,66 +222,49 @@ def _relevant(m: Moments, mi: np.ndarray, n: int, spread: bool) -> Projection:
     return m.pick(sorted(taken))
 
 
-class Bottleneck:
-    """Auto-encoder with tanh layers trained by Adam in numpy; variational: with a noisy code."""
-
-    def __init__(self, x: np.ndarray, code: int, hidden: int = 32, rounds: int = 60, variational: bool = False, seed: int = 42):
-        g = np.random.default_rng(seed)
-        sizes = [x.shape[1], hidden, code, hidden, x.shape[1]]
-        w = [g.normal(0, 1 / math.sqrt(a), (a, b)) for a, b in zip(sizes, sizes[1:], strict=False)]
-        b = [np.zeros(n) for n in sizes[1:]]
-        moment = [[np.zeros_like(p), np.zeros_like(p)] for p in (*w, *b)]
-        step = 0
-        for _ in range(rounds):
-            for rows in np.array_split(g.permutation(len(x)), max(1, len(x) // 256)):
-                a = [x[rows]]
-                for k in range(4):
-                    z = a[-1] @ w[k] + b[k]
-                    if k == 1 and variational:
-                        z = z + 0.1 * g.standard_normal(z.shape)
-                    a.append(np.tanh(z) if k in (0, 2) else z)
-                back, grads = 2 * (a[4] - x[rows]) / a[4].size, [None] * 8
-                for k in (3, 2, 1, 0):
-                    grads[k], grads[4 + k] = a[k].T @ back, back.sum(axis=0)
-                    if k:
-                        back = back @ w[k].T
-                        if k in (1, 3):
-                            back = back * (1 - a[k] ** 2)
-                        elif variational:
-                            back = back + 1e-3 * a[2] / a[2].size
-                step += 1
-                for p, d, (m1, m2) in zip((*w, *b), grads, moment, strict=True):
-                    m1 += 0.1 * (d - m1)
-                    m2 += 0.001 * (d * d - m2)
-                    p -= 0.003 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
-        self.w, self.b, self.rows = w[:2], b[:2], len(x)
-
-    def encode(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh(x @ self.w[0] + self.b[0]) @ self.w[1] + self.b[1]
-
-
-def fitted_bottleneck(train: DataFrame, m: Moments, n: int, variational: bool) -> Bottleneck:
-    """Trained on all rows by one task, which keeps them in a file and reads one mini-batch at a time."""
-    mean, scale = m.mean, m.scale
+def in_tasks(rows: DataFrame, x: Column, columns: list[str], fit: Callable[[pd.DataFrame, int], bytes], tasks: range = range(1)) -> list[bytes]:
+    """What fit(rows by key and bar, number) gives, in one Spark task for each number; x: an array of features."""
+    sent = rows.select("key", "bar_ix", x.alias("x"), *columns, F.explode(F.array(*[F.lit(t) for t in tasks])).alias("task"))
 
     def run(batches):
-        with tempfile.TemporaryFile() as file:
-            for part in batches:
-                file.write(np.ascontiguousarray((np.array(part["x"].tolist(), float) - mean) / scale).tobytes())
-            file.flush()
-            yield pd.DataFrame({"net": [pickle.dumps(Bottleneck(np.memmap(file, float, "r").reshape(-1, len(mean)), n, variational=variational))]})
+        held: dict[int, list[pd.DataFrame]] = {}
+        for part in batches:
+            for t, own in part.groupby("task"):
+                held.setdefault(t, []).append(own)
+        for t, parts in held.items():
+            yield pd.DataFrame({"task": [t], "model": [fit(pd.concat(parts).sort_values(["key", "bar_ix"]), t)]})
+
+    found = sent.repartition(len(tasks), "task").mapInPandas(run, "task int, model binary").collect()  # a row a task
+    return [bytes(r.model) for r in sorted(found)]
+
 
-    rows = train.select(F.xxhash64("key", "bar_ix").alias("h"), "key", "bar_ix", vector_to_array("x").alias("x")).repartition(1).sortWithinPartitions("h", "key", "bar_ix")
-    return pickle.loads(rows.select("x").mapInPandas(run, "net binary").first().net)
+def _matrix(x: pd.Series) -> np.ndarray:
+    return np.array(x.tolist(), float)
 
 
-def _encoded(train: DataFrame, rows: DataFrame, m: Moments, n: int, variational: bool) -> DataFrame:
-    net = fitted_bottleneck(train, m, n, variational)
+def fitted_encoder(train: DataFrame, m: Moments, method: str, n: int) -> learners.Encoder:
+    mean, scale, d = m.mean, m.scale, len(m.mean)
+
+    def fit(part: pd.DataFrame, _: int) -> bytes:
+        x = (_matrix(part["x"]) - mean) / scale
+        if method == "autoencoder":
+            found = learners.autoencoder(x, max(4, min(n, d // 3)), 32)
+        elif method == "ae_np":
+            found = learners.autoencoder(x, n, max(2 * n, min(64, d // 2)))
+        else:
+            found = learners.variational(x, n, part["y"].to_numpy(float) if method == "vae_rl" else None)
+        return pickle.dumps(found)
+
+    return pickle.loads(in_tasks(train, vector_to_array("x"), ["y"], fit)[0])
+
+
+def _encoded(train: DataFrame, rows: DataFrame, m: Moments, method: str, n: int) -> DataFrame:
+    found = fitted_encoder(train, m, method, n)
     mean, scale = m.mean, m.scale
 
     @F.pandas_udf("array<double>")
     def encode(x: pd.Series) -> pd.Series:
-        return pd.Series(list(net.encode((np.array(x.tolist(), float) - mean) / scale)))
+        return pd.Series(list(found.encode((_matrix(x) - mean) / scale)))
 
     return rows.withColumn("x", array_to_vector(encode(vector_to_array("x"))))
 
@@ -286,17 +272,12 @@ def _encoded(train: DataFrame, rows: DataFrame, m: Moments, n: int, variational:
 REDUCERS = ("correlation", "spearman", "variance", "infogain", "mrmr", "autoencoder", "ae_np", "pca", "whiten", "minor_pca", "pls", "spca", "vae", "vae_rl")
 
 
-def reduce(rows: DataFrame, method: str = "correlation", n: int = 20) -> DataFrame:
-    """Rows with ``x`` reduced; fitted on rows that ``fits`` only."""
-    if method not in REDUCERS:
-        raise ValueError(f"unknown reducer {method!r}")
-    train = rows.where("fits")
+def projection(train: DataFrame, method: str = "correlation", n: int = 20) -> Projection:
+    """A linear reducer, fitted."""
     m = Moments.of(train, "spearman" if method == "spearman" else "pearson")
     d = len(m.mean)
     if method in ("infogain", "mrmr"):
-        return _relevant(m, information(train, d), n, method == "mrmr").apply(rows)
-    if method in ("autoencoder", "ae_np", "vae", "vae_rl"):
-        return _encoded(train, rows, m, max(4, min(n, d // 3)) if method == "autoencoder" else n, method.startswith("vae"))
+        return _relevant(m, information(train, d), n, method == "mrmr")
     made: dict[str, Callable[[], Projection]] = {
         "correlation": lambda: _top(m, n),
         "spearman": lambda: _top(m, n),
@@ -307,115 +288,83 @@ def reduce(rows: DataFrame, method: str = "correlation", n: int = 20) -> DataFra
         "pls": lambda: _partial_least_squares(m, n),
         "spca": lambda: _supervised(m, n),
     }
-    return made[method]().apply(rows)
+    if method not in made:
+        raise ValueError(f"no linear reducer {method!r}")
+    return made[method]()
 
 
-MODELS = ("xgb", "xgb_es100", "xgb_fixed", "xgb_bag", "lgbm", "lgbm_bag", "catboost", "logit")
+def reduce(rows: DataFrame, method: str = "correlation", n: int = 20) -> DataFrame:
+    """Rows with ``x`` reduced; fitted on rows that ``fits`` only."""
+    if method not in REDUCERS:
+        raise ValueError(f"unknown reducer {method!r}")
+    train = rows.where("fits")
+    if method in ("autoencoder", "ae_np", "vae", "vae_rl"):
+        return _encoded(train, rows, Moments.of(train), method, n)
+    return projection(train, method, n).apply(rows)
 
-#: Rounds without a better VAL AUC after which boosting stops; xgb_fixed keeps all.
-PATIENCE = {"xgb": 30, "xgb_es100": 100, "xgb_bag": 30, "lgbm": 30, "lgbm_bag": 30, "catboost": 30}
 
+MODELS = (*learners.FAMILIES, "logit")
 
-def stop_round(aucs: list[float], patience: int) -> int:
-    """Trees kept: those up to the first best round, as found before ``patience`` rounds passed without a better one."""
-    best = 0
-    for k, a in enumerate(aucs):
-        if a > aucs[best]:
-            best = k
-        elif k - best >= patience:
-            break
-    return best + 1
-
-
-class Trees:
-    """Boosted trees of a fitted model as arrays; the margin after each round."""
-
-    def __init__(self, fitted):
-        self.weights = np.array(fitted.treeWeights)
-        self.trees = [self._nodes(t._java_obj.rootNode()) for t in fitted.trees]
-
-    @staticmethod
-    def _nodes(root) -> list[tuple]:
-        """(feature, threshold, left, right, value) of each node; a leaf's feature is -1."""
-        nodes: list[tuple] = []
-
-        def walk(node) -> int:
-            at = len(nodes)
-            nodes.append((-1, 0.0, at, at, node.prediction()))
-            if node.subtreeDepth():
-                split = node.split()
-                nodes[at] = (split.featureIndex(), split.threshold(), walk(node.leftChild()), walk(node.rightChild()), 0.0)
-            return at
-
-        walk(root)
-        return nodes
-
-    def margins(self, x: np.ndarray) -> np.ndarray:
-        """Rows by rounds."""
-        out = np.empty((len(x), len(self.trees)))
-        for k, nodes in enumerate(self.trees):
-            feature, threshold, left, right, value = (np.array(c) for c in zip(*nodes, strict=True))
-            at = np.zeros(len(x), int)
-            while (inner := feature[at] >= 0).any():
-                goes_left = x[np.arange(len(x)), np.maximum(feature[at], 0)] <= threshold[at]
-                at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
-            out[:, k] = self.weights[k] * value[at]
-        return out.cumsum(axis=1)
-
-    def aucs(self, judged: DataFrame) -> list[float]:
-        """AUC after each round, over rows with both labels."""
 
-        @F.pandas_udf("array<double>")
-        def margins(x: pd.Series) -> pd.Series:
-            return pd.Series(list(self.margins(np.array(x.tolist(), float))))
+def _classes(train: DataFrame) -> tuple[float, int]:
+    """Ones and rows."""
+    r = train.agg(F.sum(F.col("y").cast("double")), F.count(F.lit(1))).first()
+    return r[0] or 0.0, r[1]
 
-        long = judged.select("y", F.posexplode(margins(vector_to_array("x"))).alias("key", "score"))
-        found = dict(auc(long).collect())  # one row per round
-        return [found[k] for k in range(len(self.trees))]
 
-    def score(self, rows: DataFrame, column: str, kept: int) -> DataFrame:
-        """Adds the probability of one by the first ``kept`` trees."""
+def fit(rows: DataFrame, model: str = "xgb", depth: int = 3, rounds: int = 200, rate: float = 0.03):
+    """The fitted model; None where TRAIN has one kind of label.  Ones weigh as much as the rest."""
+    if model not in MODELS:
+        raise ValueError(f"unknown model {model!r}")
+    ones, n = _classes(rows.where("fits"))
+    if not n or ones in (0.0, float(n)):
+        return None
+    weight = (n - ones) / ones
 
-        @F.pandas_udf("double")
-        def probability(x: pd.Series) -> pd.Series:
-            return pd.Series(1 / (1 + np.exp(-2 * self.margins(np.array(x.tolist(), float))[:, kept - 1])))
+    def run(part: pd.DataFrame, number: int) -> bytes:
+        x, y, train = _matrix(part["x"]), part["y"].to_numpy(float), part["fits"].to_numpy(bool)
+        w = np.where(y[train] == 1, weight, 1.0)
+        if model == "logit":
+            found = learners.logistic(x[train], y[train], w * len(w) / w.sum(), 1.0)
+        else:
+            rules = replace(learners.FAMILIES[model], depth=depth, rounds=rounds, rate=rate)
+            found = learners.classify(x[train], y[train], w, (x[~train], y[~train]), rules, 42 + number)
+        return learners.to_json(found).encode()
 
-        return rows.withColumn(column, probability(vector_to_array("x")))
+    made = in_tasks(rows.where("fits OR judges"), vector_to_array("x"), ["y", "fits"], run, range(5 if model.endswith("_bag") else 1))
+    members = [learners.from_json(m.decode()) for m in made]
+    return members[0] if len(members) == 1 else learners.Bag(members)
 
 
-def boosted(train: DataFrame, judged: DataFrame, model: str, depth: int, rounds: int, rate: float) -> list[tuple[Trees, int]]:
-    """Trees of each seed and how many of them count; without VAL rows of both labels all do."""
-    make = lambda seed: GBTClassifier(featuresCol="x", labelCol="y", weightCol="w", maxDepth=depth, stepSize=rate, maxIter=rounds, subsamplingRate=0.85, seed=seed)
-    judges = model in PATIENCE and judged.select("y").distinct().count() == 2
+def scored(rows: DataFrame, model, column: str = "score") -> DataFrame:
+    """Rows with the model's score; one for all without a model."""
+    if model is None:
+        return rows.withColumn(column, F.lit(1.0))
 
-    def one(seed: int) -> tuple[Trees, int]:
-        trees = Trees(make(seed).fit(train))
-        return trees, stop_round(trees.aucs(judged), PATIENCE[model]) if judges else len(trees.trees)
+    @F.pandas_udf("double")
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(model.score(_matrix(x)))
 
-    seeds = range(42, 47 if model.endswith("_bag") else 43)
-    with ThreadPoolExecutor(len(seeds)) as pool:
-        return list(pool.map(inheritable_thread_target(train.sparkSession)(one), seeds))
+    return rows.withColumn(column, score(vector_to_array("x")))
 
 
 def fit_scores(rows: DataFrame, model: str = "xgb", depth: int = 3, rounds: int = 200, rate: float = 0.03) -> DataFrame:
     """Rows with ``score``, the probability of one; a TRAIN with one kind of label gives a constant."""
-    if model not in MODELS:
-        raise ValueError(f"unknown model {model!r}")
-    train = rows.where("fits").withColumn("y", F.col("y").cast("double"))
-    ones, n = train.agg(F.sum("y"), F.count(F.lit(1))).first()
+    return scored(rows, fit(rows, model, depth, rounds, rate))
+
+
+def survival_scores(rows: DataFrame, bounds: DataFrame, depth: int = 3, rounds: int = 200, rate: float = 0.03) -> DataFrame:
+    """Rows with ``score`` by the time until the upper barrier: high where it is short; bounds: key, bar_ix, lower, upper."""
+    ones, n = _classes(rows.where("fits"))
     if not n or ones in (0.0, float(n)):
-        return rows.withColumn("score", F.lit(1.0))
-    train = train.withColumn("w", F.when(F.col("y") == 1, (n - ones) / ones).otherwise(1.0))
-    if model == "logit":
-        fitted = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=1.0 / n).fit(train)
-        return fitted.transform(rows).withColumn("score", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-    held = [train.select("x", "y", "w").persist(), rows.where("judges").select("x", "y").persist()]
-    kept = boosted(*held, model, depth, rounds, rate)
-    for part in held:
-        part.unpersist()
-    for k, (trees, count) in enumerate(kept):
-        rows = trees.score(rows, f"p{k}", count)
-    return rows.withColumn("score", sum((F.col(f"p{k}") for k in range(1, len(kept))), F.col("p0")) / len(kept)).drop(*[f"p{k}" for k in range(len(kept))])
+        return scored(rows, None)
+
+    def run(part: pd.DataFrame, _: int) -> bytes:
+        rules = learners.Rules(rounds, rate, depth, 0.0, 1.0, 1.0, 1.0)
+        return learners.to_json(learners.survive(_matrix(part["x"]), part["lower"].to_numpy(), part["upper"].to_numpy(), rules)).encode()
+
+    train = rows.where("fits").join(bounds.select("key", "bar_ix", "lower", "upper"), ["key", "bar_ix"])
+    return scored(rows, learners.from_json(in_tasks(train, vector_to_array("x"), ["lower", "upper"], run)[0].decode()))
 
 
 def pool_adjacent(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -432,10 +381,42 @@ def pool_adjacent(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) ->
     return at, np.concatenate([np.full(int(c), v) for v, _, c in blocks])
 
 
-def venn_abers(x: np.ndarray, y: np.ndarray, score: float) -> float:
-    """Probability from the isotonic fits in which the score has either label."""
-    p0, p1 = (float(np.interp(score, *pool_adjacent(np.append(x, score), np.append(y, label)))) for label in (0.0, 1.0))
-    return p1 / (1 - p0 + p1) if 1 - p0 + p1 > 1e-9 else p1
+class VennAbers:
+    """Probabilities from the two isotonic fits in which a score has either label.
+
+    Pools of all scores up to each one, and from each one on, are found once; the fit at a
+    score then joins the pools beside it that are out of order, which takes few steps.
+    """
+
+    def __init__(self, x: np.ndarray, n: np.ndarray, ones: np.ndarray):
+        """x: distinct scores in order; n and ones: rows and ones of each."""
+        self.x, self.n, self.ones = x, np.concatenate([[0.0], np.cumsum(n)]), np.concatenate([[0.0], np.cumsum(ones)])
+        self.first, self.last = list(range(len(x))), list(range(len(x)))
+        for i in range(len(x)):  # first[i]: where the last pool of scores up to i begins
+            while self.first[i] > 0 and self._mean(self.first[self.first[i] - 1], self.first[i] - 1) >= self._mean(self.first[i], i):
+                self.first[i] = self.first[self.first[i] - 1]
+        for i in reversed(range(len(x))):
+            while self.last[i] < len(x) - 1 and self._mean(self.last[i] + 1, self.last[self.last[i] + 1]) <= self._mean(i, self.last[i]):
+                self.last[i] = self.last[self.last[i] + 1]
+
+    def _mean(self, a: int, b: int) -> float:
+        return (self.ones[b + 1] - self.ones[a]) / (self.n[b + 1] - self.n[a])
+
+    def _fit(self, score: float, label: float) -> float:
+        left = int(np.searchsorted(self.x, score)) - 1
+        right = left + 1 + (left + 1 < len(self.x) and self.x[left + 1] == score)
+        while True:
+            mean = (self.ones[right] - self.ones[left + 1] + label) / (self.n[right] - self.n[left + 1] + 1)
+            if left >= 0 and self._mean(self.first[left], left) >= mean:
+                left = self.first[left] - 1
+            elif right < len(self.x) and self._mean(right, self.last[right]) <= mean:
+                right = self.last[right] + 1
+            else:
+                return mean
+
+    def probability(self, score: float) -> float:
+        p0, p1 = self._fit(score, 0.0), self._fit(score, 1.0)
+        return p1 / (1 - p0 + p1) if 1 - p0 + p1 > 1e-9 else p1
 
 
 CALIBRATIONS = ("isotonic", "beta", "venn_abers")
@@ -453,36 +434,47 @@ def calibrate(rows: DataFrame, kind: str = "isotonic") -> DataFrame:
         return model.transform(rows).withColumnRenamed("prediction", "p")
     if kind == "beta":
         q = F.least(F.greatest(F.col("score"), F.lit(1e-6)), F.lit(1 - 1e-6))
-        logs = lambda df: VectorAssembler(inputCols=["__a", "__b"], outputCol="__ab").transform(df.withColumns({"__a": F.log(q), "__b": -F.log(1 - q)}))
-        model = LogisticRegression(featuresCol="__ab", labelCol="y", regParam=1e-6).fit(logs(seen))
-        return model.transform(logs(rows)).withColumn("p", vector_to_array("probability")[1]).drop("__a", "__b", "__ab", "rawPrediction", "probability", "prediction")
-    # VAL bars are bounded by the bars of a series
-    held = seen.select("score", "y").toPandas()
-    x, y = held["score"].to_numpy(), held["y"].to_numpy()
+        logs = F.array(F.log(q), -F.log(1 - q))
+
+        def run(part: pd.DataFrame, _: int) -> bytes:
+            y = part["y"].to_numpy(float)
+            return learners.to_json(learners.logistic(_matrix(part["x"]), y, np.ones(len(y)), 1e-6 * len(y))).encode()
+
+        model = learners.from_json(in_tasks(seen, logs, ["y"], run)[0].decode())
+
+        @F.pandas_udf("double")
+        def beta(x: pd.Series) -> pd.Series:
+            return pd.Series(model.score(_matrix(x)))
+
+        return rows.withColumn("p", beta(logs))
+    # a row for each different score of VAL
+    held = seen.groupBy("score").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").alias("ones")).orderBy("score").toPandas()
+    pools = VennAbers(*(held[c].to_numpy() for c in ("score", "n", "ones")))
 
     @F.pandas_udf("double")
     def abers(score: pd.Series) -> pd.Series:
-        known = {s: venn_abers(x, y, s) for s in score.unique()}
-        return score.map(known)
+        return score.map({s: pools.probability(s) for s in score.unique()})
 
     return rows.withColumn("p", abers("score"))
 
 
-def meta(rows: DataFrame, thresh: float, long_short: bool = False, gap: int = 200) -> DataFrame:
+def meta(rows: DataFrame, long_short: bool = False, gap: int = 200) -> DataFrame:
     """Rows with ``p`` closed where a second model does not trust it.
 
-    The second model learns, out of fold, when the first is right on TRAIN.
+    The second model learns, out of fold, when the first is right on TRAIN; both are trees
+    without early stopping.  With 200 such rows or fewer, or one kind, ``p`` stays.
     """
-    held = folds(rows.where("fits"), 3, gap)
+    held, none = folds(rows.where("fits"), 3, gap), F.lit(False)
     parts = []
     for f in range(3):
-        part = held.withColumns({"fits": F.col(f"train_{f}"), "judges": F.lit(False)}).where(f"train_{f} OR fold = {f}").drop("score", "p")
-        parts.append(fit_scores(part, "logit").where(f"fold = {f}").select("key", "bar_ix", "x", F.col("score").alias("first"), "y"))
-    seen = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    right = seen.select("key", "bar_ix", "x", ((F.col("first") > 0.5).cast("int") == F.col("y")).cast("int").alias("y")).withColumns({"fits": F.lit(True), "judges": F.lit(False)})
-    both = right.withColumn("own", F.lit(False)).unionByName(rows.select("key", "bar_ix", "x", F.lit(-1).alias("y"), F.lit(False).alias("fits"), F.lit(False).alias("judges"), F.lit(True).alias("own")))
-    trust = fit_scores(both, "logit").where("own").select("key", "bar_ix", F.col("score").alias("trust"))
-    return rows.join(trust, ["key", "bar_ix"]).withColumn("p", F.when(F.col("trust") < 0.5, 0.5 if long_short else 0.0).otherwise(F.col("p"))).drop("trust")
+        part = held.withColumns({"fits": F.col(f"train_{f}"), "judges": none}).where(f"train_{f} OR fold = {f}").drop("score", "p")
+        parts.append(fit_scores(part, "xgb_fixed").where(f"fold = {f}").select("key", "bar_ix", "x", ((F.col("score") >= 0.5).cast("int") == F.col("y")).cast("int").alias("y")))
+    right = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumns({"fits": F.lit(True), "judges": none})
+    ones, n = _classes(right)
+    if n <= 200 or ones in (0.0, float(n)):
+        return rows
+    trusted = scored(rows, fit(right, "xgb_fixed"), "trust")
+    return trusted.withColumn("p", F.when(F.col("trust") < 0.5, 0.5 if long_short else 0.0).otherwise(F.col("p"))).drop("trust")
 
 
 def best_cell(cells: DataFrame) -> DataFrame:

@@ -301,6 +301,13 @@ def screen_verdicts(screen: DataFrame) -> DataFrame:
     return screen.withColumns({"edge": F.round(edge, 6), "verdict": verdict})
 
 
+def screen_rollup(screen: DataFrame) -> DataFrame:
+    """Counts and mean edge by class and verdict, by verdict, and of all; input as ``screen_verdicts``, and asset_class."""
+    judged = screen_verdicts(screen).withColumn("edge", F.col("method_calmar") - F.col("hold_calmar"))
+    by = [F.col("asset_class"), F.col("verdict")]
+    return judged.groupingSets([by, by[1:], []], *by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("edge"), 6).alias("mean_edge")).select("asset_class", "verdict", "n", "mean_edge")
+
+
 def permute_gate(runs: DataFrame) -> DataFrame:
     """Adds passed: the label-permuted control must collapse; input real, hold, permuted, permuted_trades."""
     excess = F.col("real") - F.col("hold")

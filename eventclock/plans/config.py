@@ -9,9 +9,18 @@ from eventclock.operators import axes, label_kernels, labels, models, sizing
 SIZINGS = (*sizing.modes(0.5), "cond_es")
 AXES = tuple(axes.AXES)
 LABELERS = (*labels.LABELERS, *label_kernels.KERNELS)
+#: Feature sets (fixed values).
 FEATURES = ("base", "rich", "termstruct", "evt", "disp", "sig", "realyield", "wangrich", "oilbasis", "regime", "vix", "calendar", "ddstate", "iv")
 
 
+#: Entry thresholds of assets that have their own (fixed values); others enter at 0.45.
+THRESHOLDS = {"XLE": 0.10, "QQQ": 0.15, "GLD": 0.35, "HYG": 0.55, "TLT": 0.55}
+
+
+def default_threshold(ticker: str) -> float:
+    return THRESHOLDS.get(ticker, 0.45)
+
+
 @dataclass(frozen=True)
 class CellConfig:
     """Values that are not allowed raise at once."""
@@ -52,7 +61,7 @@ class CellConfig:
         need(self.horizons is None or 1 <= len(self.horizons) <= 4 and all(least <= h <= 400 for h in self.horizons), "horizons")
 
     def suffix(self) -> str:
-        """What differs from the defaults, in a fixed order."""
+        """What differs from the defaults, in a fixed order; tokens are fixed values of stored keys."""
         short = {"features": {"rich": "_fr", "termstruct": "_ts", "realyield": "_ry"}, "reduce": {"infogain": "_ig"}, "calibration": {"venn_abers": "_va"}}
         parts = ["_perm" * self.permute_labels]
         if self.n_components != 20:

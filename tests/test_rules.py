@@ -3,6 +3,7 @@
 import inspect
 import itertools
 import math
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -10,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventclock import catalog
-from eventclock.operators import axes, clocks, label_kernels, models, performance, stats
-from eventclock.plans import cell
+from eventclock.operators import axes, clocks, label_kernels, learners, models, performance, stats
+from eventclock.plans import bundle, cell, config
 from eventclock.plans.config import CellConfig
 from eventclock.sources import tables
 
@@ -138,9 +139,15 @@ def test_test_rows_leave_earlier_labels(name):
 
 
 def test_isotonic_and_venn_abers():
-    at, value = models.pool_adjacent(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
+    _, value = models.pool_adjacent(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert value.tolist() == [0, 0.5, 0.5, 1]
-    assert 0 <= models.venn_abers(at, np.array([0.0, 0, 1, 1]), 2.5) <= 1
+    g = np.random.default_rng(0)
+    x, y = np.round(g.random(200), 2), (g.random(200) < 0.5).astype(float)
+    at = np.unique(x)
+    pools = models.VennAbers(at, np.array([(x == a).sum() for a in at], float), np.array([y[x == a].sum() for a in at]))
+    for s in [*at, 0.005, 0.333, -1.0, 2.0]:
+        p0, p1 = (float(np.interp(s, *models.pool_adjacent(np.append(x, s), np.append(y, label)))) for label in (0.0, 1.0))
+        assert pools.probability(s) == pytest.approx(p1 / (1 - p0 + p1))
 
 
 def test_reducers(spark):
@@ -158,27 +165,110 @@ def test_reducers(spark):
         assert out.count() == 400 and 1 <= len(out.first()["x"]) <= 4
 
 
-def test_boosting_stops_on_val_by_each_patience():
-    aucs = [0.6, 0.7] + [0.65] * 50 + [0.8] + [0.65] * 147
-    assert [models.stop_round(aucs, models.PATIENCE[m]) for m in ("xgb", "xgb_es100", "lgbm", "catboost")] == [2, 53, 2, 2]
-    assert "xgb_fixed" not in models.PATIENCE
-
-
-def test_boosting_runs_all_rounds(spark):
+def _classes(n=900, d=6, seed=0):
+    g = np.random.default_rng(seed)
+    x = g.normal(size=(n, d))
+    return x, (x[:, 0] + x[:, 1] * x[:, 2] + 0.7 * g.normal(size=n) > 0).astype(float)
+
+
+@pytest.mark.parametrize("name", list(learners.FAMILIES))
+def test_boosted_families(name):
+    x, y = _classes()
+    xv, yv = _classes(400, seed=1)
+    rules = replace(learners.FAMILIES[name], rounds=60)
+    model = learners.classify(x, y, np.ones(len(x)), (xv, yv), rules, 42)
+    assert learners.auc(yv, model.score(xv)) > 0.7
+    assert np.array_equal(learners.from_json(learners.to_json(model)).score(xv), model.score(xv))
+    if rules.patience is None:
+        assert len(model.trees) == 60
+    else:  # what stays ends at the best round
+        margins = [learners.Boosted(model.base, model.trees[:k]).margin(xv) for k in range(1, len(model.trees) + 1)]
+        assert learners.auc(yv, margins[-1]) == max(learners.auc(yv, m) for m in margins)
+
+
+def test_a_tree_by_brute_force():
+    """The first split of boosted trees is the best of all cuts between TRAIN values."""
+    x, y = _classes(200, 3)
+    rules = learners.Rules(rounds=1, depth=1, rows=1.0, columns=1.0, least_weight=0.0)
+    tree = learners.classify(x, y, np.ones(len(x)), (x[:0], y[:0]), rules, 0).trees[0]
+    g, h = 0.5 - y, np.full(len(y), 0.25)
+    worth = lambda s: max(abs(g[s].sum()) - 1, 0) ** 2 / (h[s].sum() + 2)
+    best = max(((worth(x[:, f] <= t) + worth(x[:, f] > t), f, t) for f in range(3) for t in x[:, f]), key=lambda c: c[0])
+    got = x[:, tree.feature[0]] <= tree.threshold[0]
+    assert worth(got) + worth(~got) == pytest.approx(best[0])
+
+
+def test_area_under_the_curve():
+    g = np.random.default_rng(1)
+    score, y = np.round(g.random(60), 1), (g.random(60) < 0.4).astype(float)
+    pos, neg = score[y == 1], score[y == 0]
+    assert learners.auc(y, score) == pytest.approx(((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)).mean())
+    assert learners.auc(np.ones(3), np.arange(3.0)) == 0.5
+
+
+def test_logistic_is_where_its_slope_is_zero():
+    x, y = _classes(300, 4)
+    w = np.where(y == 1, 2.0, 1.0)
+    m = learners.logistic(x, y, w, 0.7)
+    off = w * (m.score(x) - y)
+    assert np.abs(x.T @ off + 0.7 * m.weights).max() < 1e-8 and abs(off.sum()) < 1e-8
+
+
+def test_survival_falls_with_time():
+    g = np.random.default_rng(2)
+    x = g.normal(size=(800, 3))
+    time = np.exp(2 + x[:, 0] + 0.2 * g.normal(size=800))
+    closed = time > 20
+    m = learners.survive(x, np.minimum(time, 20), np.where(closed, np.inf, time), learners.Rules(l1=0.0, l2=1.0, rows=1.0, columns=1.0))
+    assert np.corrcoef(m.score(x), -x[:, 0])[0, 1] > 0.9 and ((m.score(x) > 0) & (m.score(x) < 1)).all()
+    assert np.array_equal(learners.from_json(learners.to_json(m)).score(x), m.score(x))
+
+
+@pytest.mark.parametrize("made", ["autoencoder", "variational"])
+def test_encoders_learn(made):
+    """The code of data of two dimensions tells the rows apart."""
+    g = np.random.default_rng(0)
+    z = g.normal(size=(600, 2))
+    x = np.column_stack([z, z[:, 0] + z[:, 1], z[:, 0] - z[:, 1]])
+    encoder = learners.autoencoder(x, 2, 16, 3e-3) if made == "autoencoder" else learners.variational(x, 2, (z[:, 0] > 0).astype(float))
+    code = encoder.encode(x)
+    wide = np.column_stack([code[:, :2], np.ones(len(x))])
+    rest = x - wide @ np.linalg.lstsq(wide, x, rcond=None)[0]
+    assert (rest**2).mean() < 0.3 * (x**2).mean()
+    if made == "variational":
+        assert code.shape == (600, 3) and np.corrcoef(code[:, 2], z[:, 0])[0, 1] > 0.5
+
+
+def test_slopes_of_a_net():
+    g = np.random.default_rng(3)
+    net, x, goal = learners.Net([3, 4, 2], (1,), g), g.normal(size=(5, 3)), g.normal(size=(5, 2))
+    loss = lambda: float(((net.forward(x)[-1] - goal) ** 2).sum())
+    slopes, _ = net.backward(net.forward(x), 2 * (net.forward(x)[-1] - goal))
+    for p, d in zip((*net.w, *net.b), slopes, strict=True):
+        at = (0,) * p.ndim
+        p[at] += 1e-6
+        up = loss()
+        p[at] -= 2e-6
+        down = loss()
+        p[at] += 1e-6
+        assert d[at] == pytest.approx((up - down) / 2e-6, rel=1e-4, abs=1e-6)
+
+
+def test_fits_and_scores(spark):
     from pyspark.ml.linalg import Vectors
 
-    g = np.random.default_rng(0)
-    x = g.normal(size=(300, 3))
-    y = (x[:, 0] + g.normal(size=300) > 0).astype(int)
-    rows = spark.createDataFrame([("k", i, int(y[i]), i < 200, i >= 200, Vectors.dense(x[i])) for i in range(300)], ["key", "bar_ix", "y", "fits", "judges", "x"])
+    x, y = _classes(600, 4)
+    rows = spark.createDataFrame([("k", i, int(y[i]), i < 400, i >= 400, Vectors.dense(x[i])) for i in range(600)], ["key", "bar_ix", "y", "fits", "judges", "x"])
     assert inspect.signature(models.fit_scores).parameters["rounds"].default == 200
-    train, judged = rows.where("fits").select("x", F.col("y").cast("double"), F.lit(1.0).alias("w")), rows.where("judges").select("x", "y")
-    trees, kept = models.boosted(train, judged, "xgb_fixed", 3, 20, 0.03)[0]
-    assert len(trees.trees) == kept == 20
-    assert trees.weights[1:] == pytest.approx(0.03)
-    pos, neg = (trees.margins(x[200:][y[200:] == v]) for v in (1, 0))
-    want = [((pos[:, k, None] > neg[:, k]) + 0.5 * (pos[:, k, None] == neg[:, k])).mean() for k in range(20)]
-    assert trees.aucs(judged) == pytest.approx(want, abs=1e-6)
+    for name in ("xgb", "lgbm_bag", "logit"):
+        found = models.fit_scores(rows.repartition(3), name, rounds=30).where("judges").orderBy("bar_ix").collect()
+        assert learners.auc(y[400:], np.array([r.score for r in found])) > 0.65
+        again = models.fit_scores(rows, name, rounds=30).where("judges").orderBy("bar_ix").collect()
+        assert [r.score for r in found] == [r.score for r in again]  # however rows are dealt
+    one = models.fit_scores(rows.withColumn("y", F.lit(1)), "xgb")
+    assert {r.score for r in one.select("score").distinct().collect()} == {1.0}
+    with pytest.raises(ValueError):
+        models.fit_scores(rows, "forest")
 
 
 def test_resampling_covers_every_curve(spark):
@@ -234,10 +324,45 @@ def test_driven_sets_are_built_or_raise(spark):
     assert {"ob_roll20", "ob_z252"} <= set(names)
 
 
-def test_encoders_fit_on_all_rows(spark):
-    from pyspark.ml.functions import array_to_vector
+@pytest.mark.parametrize("kind", ["ffd", "riccati"])
+def test_filters_are_whole(kind):
+    if kind == "ffd":
+        assert len(axes.ffd_weights(0.1)) > 400 and abs(axes.ffd_weights(0.3)[-1]) >= 1e-4
+    else:
+        assert axes._fixed_point(1e-4, 1e-5, 1e-9) == axes._fixed_point(1e-4, 1e-5, 1e-9, 6_000) != axes._fixed_point(1e-4, 1e-5, 1e-9, 300)
 
-    rows = spark.range(21_000).select(F.lit("k").alias("key"), F.col("id").alias("bar_ix"), array_to_vector(F.array(F.rand(1), F.rand(2))).alias("x"))
-    m = models.Moments(np.zeros(2), np.ones(2), np.eye(2), np.zeros(2))
 
-    assert models.fitted_bottleneck(rows, m, 1, False).rows == 21_000
+def test_bars_follow_the_ticks_asked_for(spark):
+    ticks = tables.ticks(spark, DATA)
+    few, many = (axes.build(ticks, "dollar", tables.TICK_CUTS[0], n).count() for n in (50, 5))
+    assert many > 5 * few > 0
+
+
+def test_clocks_read_a_batch_at_a_time(spark):
+    """Bars don't depend on how many ticks a batch holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    want = sorted(map(tuple, axes.build(tables.ticks(spark, DATA), "run", tables.TICK_CUTS[0]).collect()))
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        assert sorted(map(tuple, axes.build(tables.ticks(spark, DATA), "run", tables.TICK_CUTS[0]).collect())) == want
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_cells_say_what_they_cannot_fit(spark):
+    with pytest.raises(ValueError, match="horizons"):
+        cell.predictions(tables.bars(spark, DATA), config.CellConfig("ALL", "tick", "ker_fast", 0.5, "cdf_plain", horizons=(5, 10)))
+    assert [config.default_threshold(t) for t in ("XLE", "QQQ", "HYG", "TLT", "GLD", "SPY")] == [0.1, 0.15, 0.55, 0.55, 0.35, 0.45]
+
+
+def test_a_bundle_scores_what_it_was_fitted_on(spark):
+    x, y = _classes(700, 5)
+    rows = spark.createDataFrame([("k", i, "train" if i < 450 else "val", int(y[i]), i < 450, i >= 450, *map(float, x[i])) for i in range(700)], "key string, bar_ix long, split string, y int, fits boolean, judges boolean, a double, b double, c double, d double, e double")
+    made = bundle.fit(rows, ["a", "b", "c", "d", "e"], n=5)
+    again = bundle.Bundle.from_json(made.to_json())
+    found = again.predict(rows).orderBy("bar_ix").collect()
+    assert [r.p for r in found] == pytest.approx(made.probability(x).tolist())
+    assert learners.auc(y[450:], np.array([r.p for r in found[450:]])) > 0.7
+    odd = rows.limit(2).withColumn("a", F.when(F.col("bar_ix") == 0, F.lit(None)).otherwise(F.lit(float("nan"))))
+    assert [r.p for r in again.predict(odd).collect()] == [None, None]
