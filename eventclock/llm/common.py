@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
-import time
 import uuid
-import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,77 +23,83 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches hold bounded rows and bytes, as texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Lowers the session's bounds of an Arrow batch, as texts can be very long; lower ones stay.
+
+    Spark reads them when a plan runs, after the operator has returned, so they can't be
+    put back here.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(re.sub(r"\D", "", spark.conf.get(key)) or 0) <= most:
+            spark.conf.set(key, str(most))
 
 
-_own: dict[str, str] = {}
+_runs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Where that is unset, as in tests on one machine, a temporary folder serves.
+    Where that is unset a temporary folder serves on one machine; on a cluster it raises.
     """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
-        if context.applicationId not in _own:
-            _own[context.applicationId] = tempfile.mkdtemp(prefix="shared-")
-            atexit.register(shutil.rmtree, _own[context.applicationId], ignore_errors=True)
-        found = _own[context.applicationId]
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a table written by ``written``, if the session still runs."""
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session has ended: the folder's owner clears it
-        pass
-
-
-#: Seconds that a table stays after nothing in Python refers to it: a query derived from it may still run.
-LINGER_S = 600
-_unused: list[tuple[float, SparkSession, str]] = []
-
-
-def _sweep(age: float) -> None:
-    old = [x for x in _unused if time.monotonic() - x[0] >= age]
-    _unused[:] = [x for x in _unused if x not in old]
-    for _, spark, path in old:
-        drop(spark, path)
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-atexit.register(_sweep, 0)
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it goes when the application ends or calls ``release``."""
+    name = spark.sparkContext.applicationId
+    if name not in _runs:
+        _runs[name] = f"{shared_dir(spark)}/written-{name}-{uuid.uuid4().hex}"
+        files, path = _hadoop(spark, _runs[name])
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return _runs[name]
 
 
-def _release(spark: SparkSession, path: str) -> None:
-    _unused.append((time.monotonic(), spark, path))
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that operators of this application wrote: for between jobs, when no result of theirs is read any more."""
+    path = _runs.pop(spark.sparkContext.applicationId, None)
+    if path:
+        files, p = _hadoop(spark, path)
+        files.delete(p, True)
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Writes a table in the shared folder and reads it back: cuts lineage, survives lost executors.
+    """Writes a table in the application's folder and reads it back: cuts lineage, survives lost executors.
 
-    The files go some time after the DataFrame that is returned, and all made from it
-    through ``keep_alive``, are no longer referenced, or at the program's end.
+    The files stay as long as the application, so anything derived from the table can be
+    read at any time.  An operator's inner tables go earlier, by ``discard``.
     """
     spark = df.sparkSession
-    _sweep(LINGER_S)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
-    weakref.finalize(back, _release, spark, path)
+    back._written_at = path
     return back
 
 
-def keep_alive(result: DataFrame, *tables: DataFrame) -> DataFrame:
-    """Ties the life of written tables to that of a result which reads them."""
-    result._reads = tables
-    return result
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing an operator returns reads."""
+    for t in tables:
+        files, path = _hadoop(t.sparkSession, t._written_at)
+        files.delete(path, True)
+
+
+def named(c: str) -> Column:
+    """A column by its whole name, which may hold dots or backticks."""
+    return F.col("`" + c.replace("`", "``") + "`")
 
 
 def text_column(df: DataFrame) -> Column:
@@ -122,6 +127,24 @@ def map_rows(df: DataFrame, kernel: Callable[[Iterator[tuple]], Iterator[tuple]]
     return df.mapInArrow(run, ddl)
 
 
+def sampled(marked: DataFrame, counted: Callable[[DataFrame], DataFrame], documents: int, entries: int) -> list[tuple]:
+    """(mark, buckets, vals) of the first documents by a hash of their id, until one of the bounds.
+
+    marked: doc_id, once each, with what ``counted`` needs of it.  counted: doc_id, h, mark,
+    buckets, vals (4 bytes an entry) of the rows of those ids; of several rows of an id the
+    first by value counts.  What reaches the driver is bounded, whatever repeats.
+    """
+    drawn = marked.where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(documents)
+    one = counted(drawn).groupBy("h", "doc_id").agg(F.min(F.struct("mark", "buckets", "vals")).alias("r"))
+    held, size = [], 0
+    for h, doc, r in one.repartition(1).sortWithinPartitions("h", "doc_id").toLocalIterator():
+        size += len(r.vals) // 4
+        if held and size > entries:
+            break
+        held.append((r.mark, bytes(r.buckets), bytes(r.vals)))
+    return held
+
+
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -135,4 +158,5 @@ def filter_rows(df: DataFrame, columns: list[str], decide: Callable[[list[tuple]
             rows = list(zip(*(batch.column(i).to_pylist() for i in read), strict=True))
             yield batch.filter(pa.array(decide(rows), pa.bool_()))
 
-    return df.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, df.schema)
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])  # mapInArrow would look for a name's parts
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventclock.llm.common import keep_alive, written
+from eventclock.llm.common import discard, written
 
 
 def _mark(links: DataFrame) -> tuple[int, int]:
@@ -30,9 +30,12 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = written(small.select("e.u", "e.v").where("u != v").distinct(), "links")
         found = _mark(after)
+        discard(now)
         now, mark, before = after, found, mark
         if found == before:
             break
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return keep_alive(nodes.unionByName(roots), now)
+    found = nodes.unionByName(roots)
+    found._written_at = now._written_at
+    return found

@@ -18,21 +18,26 @@ Sketches only reject what lies ``SIGMAS`` standard deviations below the wanted
 similarity.  Bands are as long as they can be while a pair at the threshold shares no
 band with a chance below ``MISSED``: 32 bands of 8 samples at 0.85, 42 of 6 at 0.80.
 
-Null texts and texts without words have an empty set and link with nothing.  Rows that
-repeat one doc_id are one document.  Ties do not matter: components have smallest ids.
+Null texts and texts without words have an empty set and link with nothing, nor does a
+document without an id, whose component is null and which stays.  Rows that repeat one
+doc_id are one document.  Ties do not matter: components have smallest ids.  Texts of any
+length count whole.  Columns but ``doc_id`` and ``text`` are not read, ``near_dedup`` hands
+them on; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventclock.llm.common import bounded_batches, keep_alive, map_rows, text_column, written
+from eventclock.llm.common import bounded_batches, discard, map_rows, named, text_column, written
 from eventclock.llm.components import components
 from eventclock.llm.pieces import chunks
 from eventclock.llm.shingles import mix, shingle_sets
@@ -103,17 +108,17 @@ def signatures(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long"), text_column(docs).alias("text")), kernel, schema, "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>", 1_000)
 
 
-def full_sets(docs: DataFrame, words: int = 5, packed: bool = False) -> DataFrame:
-    """id and the set of shingle hashes of each row; packed: as bytes, for kernels."""
+def full_sets(docs: DataFrame, words: int = 5) -> DataFrame:
+    """id and the set of shingle numbers of each row, as sorted unsigned 64-bit words."""
     bounded_batches(docs.sparkSession)
 
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
         for group in chunks(rows, 1):
             for (doc, _), own in zip(group, shingle_sets([t for _, t in group], words), strict=True):
-                yield doc, own.astype("<u8").tobytes() if packed else own.view(np.int64).tolist()
+                yield doc, own.astype("<u8").tobytes()
 
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary() if packed else pa.list_(pa.int64()))])
-    return map_rows(docs.select(F.col("doc_id").cast("long"), text_column(docs).alias("text")), kernel, schema, f"id long, shingles {'binary' if packed else 'array<long>'}", 200)
+    schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
+    return map_rows(docs.select(F.col("doc_id").cast("long"), text_column(docs).alias("text")), kernel, schema, "id long, shingles binary", 200)
 
 
 def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -133,10 +138,33 @@ def _similar_size(percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) whose full sets have the wanted similarity."""
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
-    shared = both.select("u", "v", F.size(F.array_intersect("a", "b")).cast("long").alias("i"), (F.size("a") + F.size("b")).cast("long").alias("s"))
-    return shared.where(f"100 * i >= {percent} * (s - i)").select("u", "v")
+    """Pairs (u, v) whose full sets have the wanted similarity.
+
+    The sets of a u's partners go to it in portions of about ``TILE``; its own set goes
+    once to each portion, not to each pair.
+    """
+    portions = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("portions"))
+    partners = pairs.join(portions, "u").select("u", F.pmod(F.xxhash64("v"), F.col("portions")).cast("int").alias("portion"), F.col("v").alias("id"))
+    heads = portions.select("u", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.col("u").alias("id"))
+    rows = partners.unionByName(heads).join(sets, "id").withColumn("head", F.col("id") == F.col("u"))
+    dealt = rows.repartition("u", "portion").sortWithinPartitions("u", "portion", F.desc("head")).select("u", "portion", "head", "id", "shingles")
+
+    def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for (u, _), own in itertools.groupby(rows, key=lambda r: r[:2]):
+            heads = []  # more than one where rows repeat an id with another text
+            for _, _, head, v, data in own:
+                shingles = np.frombuffer(data, "<u8")
+                if head:
+                    heads.append(shingles)
+                elif any(_similar(h, shingles, percent) for h in heads):
+                    yield u, v
+
+    return map_rows(dealt, kernel, pa.schema([("u", pa.int64()), ("v", pa.int64())]), "u long, v long")
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    shared = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum()) if len(a) else 0
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
 def _with_facts(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -153,7 +181,7 @@ def near_groups(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame
     percent: documents link if 100 * intersection >= percent * union of their sets.
     """
     signed = written(signatures(docs, percent, words), "signatures", "none")
-    classes = written(signed.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes", "none")
+    classes = written(signed.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes", "none")
 
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     # a bucket with one class has nothing to compare
@@ -162,24 +190,29 @@ def near_groups(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame
     met = members.where("rep != p").select(F.col("p").alias("u"), F.col("rep").alias("v")).distinct()
     first = written(_with_facts(met, classes, percent), "pairs")
 
-    def sets_of(ids: DataFrame, packed: bool = False) -> DataFrame:
-        return written(full_sets(_chosen(docs, written(ids.distinct(), "ids")), words, packed), "sets", "none")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        chosen = written(ids.distinct(), "ids")
+        sets = written(full_sets(_chosen(docs, chosen), words), "sets", "none")
+        discard(chosen)
+        return sets
 
     sets = sets_of(first.select(F.col("u").alias("doc_id")).union(first.select("v")))
     links = written(_verified(first, sets, percent), "links")
+    discard(first, sets)
     groups = components(links)
 
     grouped = members.select("band", "key", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = grouped.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("band", "key", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-    rest = grouped.join(mixed, ["band", "key"]).join(classes.select("rep", "n", "sketch"), "rep")
-    second = written(_possible(rest, percent), "possible")
-    more_sets = sets_of(second.select(F.col("rep").alias("doc_id")), packed=True)
+    second = written(_possible(_tiled(grouped).join(classes.select("rep", "n", "sketch"), "rep"), percent), "possible")
+    discard(members, groups)
+    more_sets = sets_of(second.select(F.col("rep").alias("doc_id")))
     more = written(_across(second, more_sets, percent), "links")
+    discard(second, more_sets)
     final = components(links.unionByName(more))
+    discard(links, more)
 
     out = signed.select("doc_id", "n", "d1", "d2").join(classes.select("d1", "d2", "n", "rep"), ["d1", "d2", "n"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    return keep_alive(out.withColumn("kept", F.expr("doc_id <=> component_id")), signed, classes, final)
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.expr("CASE WHEN doc_id IS NOT NULL THEN coalesce(component, rep, doc_id) END").alias("component_id"))
+    return out.withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
 _TILE = ["band", "key", "i", "j"]
@@ -203,12 +236,34 @@ def _tiles(rows: Iterator[tuple]) -> Iterator[tuple[tuple, list[tuple]]]:
         yield key, held
 
 
-def _possible(rest: DataFrame, percent: int) -> DataFrame:
+def _tiled(grouped: DataFrame) -> DataFrame:
+    """Rows of buckets with several components, each for every pair of tiles in which it may meet another component.
+
+    A component of ``TILE`` rows or more in a bucket has tiles of its own, which don't meet
+    each other; smaller ones share tiles.  So what a large group of near copies adds to a
+    bucket is its size times the few tiles of the others, not its size squared.
+    """
+    bucket = ["band", "key"]
+    sizes = grouped.groupBy(*bucket, "component").agg(F.count(F.lit(1)).alias("size"))
+    own = F.when(F.col("size") >= TILE, F.col("component"))  # null: shared
+    groups = sizes.groupBy(*bucket, own.alias("own")).agg(F.ceil(F.sum("size") / TILE).cast("int").alias("tiles"), F.count(F.lit(1)).alias("components"))
+    # a bucket has a row here for its shared tiles and each component of its own, not for each member
+    groups = groups.withColumn("first", (F.sum("tiles").over(W.partitionBy(*bucket).orderBy("own")) - F.col("tiles")).cast("int"))
+    mixed = groups.groupBy(*bucket).agg(F.sum("components").alias("components"), F.collect_list(F.struct("own", "first", "tiles")).alias("groups")).where("components > 1").drop("components")
+    rows = grouped.join(mixed, bucket)
+    mine = F.when(F.exists("groups", lambda g: g["own"] == F.col("component")), F.col("component"))
+    rows = rows.withColumn("mine", mine).withColumn("place", F.filter("groups", lambda g: g["own"].eqNullSafe(F.col("mine")))[0])
+    rows = rows.withColumn("tile", (F.col("place.first") + F.pmod(F.xxhash64("rep"), F.col("place.tiles"))).cast("int"))
+    others = F.filter("groups", lambda g: F.col("mine").isNull() | ~g["own"].eqNullSafe(F.col("mine")))
+    numbers = F.flatten(F.transform(others, lambda g: F.sequence(g["first"], g["first"] + g["tiles"] - 1)))
+    rows = rows.select(*bucket, "rep", "component", "tile", F.explode(numbers).alias("other"))
+    return rows.select(*bucket, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "rep", "component", "tile")
+
+
+def _possible(tiled: DataFrame, percent: int) -> DataFrame:
     """Classes of each tile that sizes and sketches leave a partner of another component."""
     most = most_differing(percent)
-    tile = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
-    spread = rest.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = _dealt(spread.withColumn("i", F.least("tile", "other")).withColumn("j", F.greatest("tile", "other")), "rep", "component", "n", "sketch", "tile")
+    dealt = _dealt(tiled, "rep", "component", "n", "sketch", "tile")
 
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
         for key, held in _tiles(rows):
@@ -267,7 +322,9 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, percent: int = 85, words: int = 5) -> DataFrame:
-    """The documents that stay, with all columns of ``docs``: one of each group."""
-    groups = near_groups(docs, percent, words)
-    kept = groups.where("kept").select("doc_id").distinct()
-    return keep_alive(docs.join(kept, "doc_id", "left_semi").select(*docs.columns), groups)
+    """The documents that stay, with all columns of ``docs``: one of each group, and all without an id."""
+    name = "kept_id"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    kept = near_groups(docs, percent, words).where("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, named("doc_id").cast("long").eqNullSafe(named(name)), "left_semi")

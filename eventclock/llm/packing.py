@@ -2,26 +2,30 @@
 
 A document longer than a window is cut into full windows first; what remains of each
 document is placed by best fit, the longest first: a segment tree over remaining
-capacities finds the tightest open window.  Pieces are dealt by a hash to groups of
-about ``GROUP`` pieces that are packed apart, so no task holds the corpus; each
-group leaves at most a few windows less than full.  A window's id is its number in
-its group times the number of groups plus the group's: unique without a count over all.
-
-Nulls and empty texts give one piece with the end id.  Repeated rows are packed each.
+capacities finds the tightest open window.  Pieces are dealt to groups of about ``GROUP``
+pieces that are packed apart, so no task holds the corpus; each group leaves at most a
+few windows less than full.  Rows that repeat are dealt like any others.  A window's id is
+its number in its group times the number of groups plus the group's: unique without a
+count over all.
+
+Nulls and empty texts give one piece with the end id, a null doc_id stays null.  Repeated
+rows are packed each.  Very long texts are cut like others.  Columns but ``doc_id`` and
+``text`` are not read; an empty table gives no piece.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from eventclock.llm.common import bounded_batches, keep_alive, map_rows, text_column, written
+from eventclock.llm.common import bounded_batches, map_rows, text_column, written
 from eventclock.llm.pieces import chunks
 from eventclock.llm.token_files import piece_table
 
@@ -128,21 +132,24 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
 
 def packed(parts: DataFrame, window: int = 2048, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to pieces that have been written."""
+    bounded_batches(parts.sparkSession)
     groups = max(1, -(-parts.count() // group))
+    # the place of a row in its file parts rows that repeat; it stays when a task runs again
+    deal = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long")
+    dealt = parts.select(deal.alias("pack_group"), *parts.columns).repartition("pack_group").sortWithinPartitions("pack_group", F.desc("length"), "doc_id", "start", "ids_crc32")
 
-    def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True])
-        number, offset = best_fit(frame["length"].tolist(), window)
-        frame["sequence_id"] = np.array(number, np.int64) * groups + frame.pop("pack_group").to_numpy()
-        frame["offset"] = np.array(offset, np.int64)
-        return frame
+    def place(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for number, own in itertools.groupby(rows, key=lambda r: r[0]):
+            held = [r[1:] for r in own]
+            for row, w, offset in zip(held, *best_fit([r[2] for r in held], window), strict=True):
+                yield *row, w * groups + number, offset
 
+    schema = pa.schema([*to_arrow_schema(parts.schema), ("sequence_id", pa.int64()), ("offset", pa.int64())])
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
-    dealt = parts.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
-    return dealt.groupBy("pack_group").applyInPandas(place, ddl)
+    return map_rows(dealt, place, schema, ddl)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048) -> DataFrame:
     """Every piece of every document with its place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     parts = written(pieces(docs, tokenizer, end_id, window), "pieces")
-    return keep_alive(packed(parts, window), parts)
+    return packed(parts, window)

@@ -13,7 +13,10 @@ blocks in the order of (shard, block) have ascending ids; shards are written by
 Spark's writer with its commit protocol, so a lost executor's shard is written again.
 
 Nulls and empty texts give documents with the end id only.  Rows that repeat a
-doc_id are written one after the other.  Very long documents make a block alone.
+doc_id are written one after the other, in an order that their texts fix.  Documents
+without an id come first; a block's ``unnamed`` counts them.  Very long documents make a
+block alone.  Other columns than ``doc_id`` and ``text`` are not read; an empty table
+gives no block.
 """
 
 from __future__ import annotations
@@ -29,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from eventclock.llm.common import bounded_batches, keep_alive, map_rows, text_column, written
+from eventclock.llm.common import bounded_batches, map_rows, text_column, written
 from eventclock.llm.pieces import PieceTable, chunks
 
-#: Ids of a block, about.
-BLOCK_IDS = 1 << 18
+#: Ids of a block, about; and bytes of input that a shard is planned for.
+BLOCK_IDS, SHARD_BYTES = 1 << 18, 64 << 20
 
 _sizes = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
@@ -84,15 +87,17 @@ def piece_table(path: str, keep_space: bool) -> PieceTable:
     return PieceTable(encode, keep_space)
 
 
-BLOCKS = "shard long, block long, n_ids long, doc_ids binary, doc_tokens binary, ranked binary, control binary, data binary"
+BLOCKS = "shard long, block long, n_ids long, unnamed long, doc_ids binary, doc_tokens binary, ranked binary, control binary, data binary"
 
 
 def token_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, shards: int | None = None) -> DataFrame:
     """Blocks of the ids of all documents, each document with ``end_id`` behind it."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
+    if shards is None:
+        size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's estimate, huge where it has none
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES) if size < 1 << 50 else 1)
     # the hash spreads rows that repeat one doc_id
     rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
@@ -103,7 +108,7 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, shards: int |
             ids, counts = table.ids([t for _, t in group])
             ends = np.cumsum(counts)
             held.append(np.insert(ids, ends, np.uint32(end_id)))
-            docs.append(np.array([d for d, _ in group], "<i8"))
+            docs += [d for d, _ in group]
             sizes.append((counts + 1).astype("<i8"))
             n += len(held[-1])
             if n >= BLOCK_IDS:
@@ -112,12 +117,13 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, shards: int |
         if n:
             yield (shard, block, n, *_packed(docs, sizes, held))
 
-    kinds = [("shard", pa.int64()), ("block", pa.int64()), ("n_ids", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "doc_tokens", "ranked", "control", "data"))]
+    kinds = [*((c, pa.int64()) for c in ("shard", "block", "n_ids", "unnamed")), *((c, pa.binary()) for c in ("doc_ids", "doc_tokens", "ranked", "control", "data"))]
     return map_rows(rows, kernel, pa.schema(kinds), BLOCKS, 1)
 
 
-def _packed(docs: list[np.ndarray], sizes: list[np.ndarray], held: list[np.ndarray]) -> tuple:
-    return np.concatenate(docs).tobytes(), np.concatenate(sizes).tobytes(), *pack(np.concatenate(held))
+def _packed(docs: list[int | None], sizes: list[np.ndarray], held: list[np.ndarray]) -> tuple:
+    unnamed = docs.count(None)  # they sort first
+    return unnamed, np.array(docs[unnamed:], "<i8").tobytes(), np.concatenate(sizes).tobytes(), *pack(np.concatenate(held))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
@@ -140,11 +146,11 @@ def token_digest(blocks: DataFrame) -> DataFrame:
     """Decodes blocks: doc_id, start, n_tokens, ids_crc32 of each document."""
 
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for shard, block, n, docs, sizes, ranked, control, data in rows:
+        for shard, block, n, unnamed, docs, sizes, ranked, control, data in rows:
             ids = unpack(ranked, control, data, n).astype("<u4")
             sizes = np.frombuffer(sizes, "<i8")
             ends = np.cumsum(sizes)
-            for doc, a, b in zip(np.frombuffer(docs, "<i8").tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+            for doc, a, b in zip([None] * unnamed + np.frombuffer(docs, "<i8").tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
                 yield shard, block, doc, a, b - a, zlib.crc32(ids[a:b])
 
     schema = pa.schema([(c, pa.int64()) for c in ("shard", "block", "doc_id", "inside", "n_tokens", "ids_crc32")])
@@ -156,4 +162,4 @@ def token_digest(blocks: DataFrame) -> DataFrame:
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Writes the files in the shared folder, reads them back, gives the digest of each document."""
     blocks = written(token_blocks(docs, tokenizer, end_id), "tokens", "none")
-    return keep_alive(token_digest(blocks), blocks)
+    return token_digest(blocks)
