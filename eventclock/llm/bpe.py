@@ -11,8 +11,9 @@ hypotheses agree, which is within the longest token's length.
 Decoding.  ``StreamDecoder`` takes ids in any portions and gives text, by a state
 machine over UTF-8 bytes that holds what is incomplete from one portion to the next.
 
-Nulls and empty texts give no tokens; very long texts are encoded alone; repeated
-rows each give a row; other columns than ``doc_id`` and ``text`` are not read.
+Nulls and empty texts give no tokens; a null doc_id stays null; very long texts are
+encoded alone; repeated rows each give a row; other columns than ``doc_id`` and ``text``
+are not read; an empty table gives an empty result.  An encoding is unique: nothing ties.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from eventclock.llm.common import bounded_batches, map_rows, text_column
 from eventclock.llm.pieces import PieceTable, chunks
@@ -300,7 +302,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 yield doc, ids[a:b].astype("<u4").tobytes(), int(b - a)
 
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n_tokens", pa.int64())])
-    return map_rows(docs.select("doc_id", text_column(docs).alias("text")), kernel, schema, "doc_id long, ids binary, n_tokens long", 500)
+    return map_rows(docs.select(F.col("doc_id").cast("long"), text_column(docs).alias("text")), kernel, schema, "doc_id long, ids binary, n_tokens long", 500)
 
 
 def decoded(tokens: DataFrame, path: str, portion: int = 65_536) -> DataFrame:
@@ -333,4 +335,4 @@ def round_trip(docs: DataFrame, path: str, portion: int = 65_536) -> DataFrame:
                 yield doc, b - a, hashlib.sha256(own.astype("<u4").tobytes()).hexdigest(), back.hexdigest()
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    return map_rows(docs.select("doc_id", text_column(docs).alias("text")), kernel, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_rows(docs.select(F.col("doc_id").cast("long"), text_column(docs).alias("text")), kernel, schema, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

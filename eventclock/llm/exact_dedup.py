@@ -6,9 +6,11 @@ sends each of its distinct texts once, however many copies it holds.  Each row t
 finds its group by the two digests in a join of narrow rows, which adaptive
 execution splits where one text has very many copies.
 
-Null counts as empty and groups with empty texts; repeated rows with one id are
-one group and all carry ``kept`` if their id is the smallest; other columns pass
-by unread; an empty table gives an empty result.
+Null counts as empty and groups with empty texts.  A null doc_id counts as larger than
+any other: such a row stays only where its whole group has none (``keep_id`` is null
+then).  Repeated rows with one id are one group and all carry ``kept`` if their id is
+the smallest.  Texts of any length are keys as a whole.  Other columns, whatever their
+names, pass by unread; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventclock.llm.common import text_column
+from eventclock.llm.common import named, text_column
 
 
 def normalised(text: Column) -> Column:
@@ -52,7 +54,12 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     columns = docs.columns
     norm = normalised(text_column(docs))
-    # of the columns only the text is part of the key; the rest of a row rides along with the smallest id
-    rest = F.struct(F.col("doc_id"), *[F.col(c) for c in columns if c != "doc_id"])
-    kept = docs.select(content_hash(norm).alias("__h"), norm.alias("__n"), rest.alias("__r")).groupBy("__h", "__n").agg(F.min_by("__r", F.col("__r.doc_id")).alias("__r"))
-    return kept.select(*[F.col("__r").getField(c).alias(c) for c in columns])
+    # of the columns only the text is part of the key; the rest of a row rides along with the
+    # smallest id, its own text only where that differs from the key
+    text = F.when(~named("text").eqNullSafe(norm), named("text"))
+    others = [named(c).alias(f"c{i}") for i, c in enumerate(columns) if c != "text"]
+    row = F.struct(*others, text.alias("text"), named("text").isNull().alias("empty"))
+    order = F.struct(named("doc_id").isNull(), named("doc_id"))
+    kept = docs.select(content_hash(norm).alias("h"), norm.alias("n"), row.alias("r"), order.alias("o")).groupBy("h", "n").agg(F.min_by("r", "o").alias("r"))
+    own = F.when(F.col("r.empty"), F.lit(None)).otherwise(F.coalesce("r.text", "n")).cast(docs.schema["text"].dataType)
+    return kept.select(*[(own if c == "text" else F.col(f"r.c{i}")).alias(c) for i, c in enumerate(columns)])

@@ -3,16 +3,19 @@
 A text's subwords are its byte n-grams of ``ORDERS`` after lower-casing, with white
 space and ASCII marks as one border symbol.  Each has an embedding by its hash; their
 average goes to a linear softmax.  Both are trained together by stochastic gradient
-descent in numpy, on at most ``SAMPLE`` labelled documents (smallest hash of their id),
-of whose whole texts the executors send hashed counts only.  A quarter of the sample
-calibrates: a temperature for the scores, and the score below which a prediction is
+descent in numpy, on at most ``SAMPLE`` labelled documents (smallest hash of their id) and
+``ENTRIES`` hashed counts, which is what the executors send of their whole texts.  A
+quarter of the sample calibrates: a temperature for the scores, and the score below which a prediction is
 rejected, under which ``REJECTED`` of right predictions fall.
 
 As everything behind the average is linear, embeddings times weights are one table of
 a row per hash, and a text costs one lookup per subword.
 
 Null texts and texts without a letter are ``und`` with score 0 and rejected.  With no
-labelled document all texts are ``und``.  Very long texts are read whole.
+labelled document all texts are ``und``.  Very long texts are read whole.  Of languages
+that tie the first by name is taken.  Rows that repeat each have their score; in the
+sample an id counts once.  A null id is scored, not learned from and not held out.  Columns
+but ``doc_id``, ``text`` and ``lang`` are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventclock.llm.common import bounded_batches, filter_rows, map_rows
+from eventclock.llm.common import bounded_batches, filter_rows, map_rows, sampled
 from eventclock.llm.pieces import chunks
 
-ORDERS, BUCKETS, DIMENSIONS, SAMPLE, EPOCHS, RATE, REJECTED = (2, 3), 1 << 14, 8, 2_000, 12, 2.0, 0.001
+ORDERS, BUCKETS, DIMENSIONS, SAMPLE, ENTRIES, EPOCHS, RATE, REJECTED = (2, 3), 1 << 14, 8, 2_000, 8_000_000, 12, 2.0, 0.001
 _symbol = np.arange(256, dtype=np.uint8)
 _symbol[[b for b in range(128) if not 97 <= b <= 122]] = 32
 _turn = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -131,7 +134,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 3) -> Langua
             steps += 1
     temperature, threshold = 1.0, 0.0
     if len(held):
-        z = averaged(held)[0] @ weight + bias
+        z = np.concatenate([averaged(at)[0] for at in np.array_split(held, -(-len(held) // 32))]) @ weight + bias
         losses = [(-np.log(np.maximum((_softmax(z / t) * goal[held]).sum(axis=1), 1e-12)).mean(), t) for t in np.geomspace(0.02, 5, 40)]
         temperature = float(min(losses)[1])
         p = _softmax(z / temperature)
@@ -142,20 +145,23 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 3) -> Langua
 
 
 def training_rows(docs: DataFrame, learn: Column) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Hashed counts of the sample: at most SAMPLE documents."""
+    """Hashed counts of the sample: at most SAMPLE documents and ENTRIES counts."""
     bounded_batches(docs.sparkSession)
-    drawn = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE).select("doc_id").distinct()
-    # the sample is bounded, so its ids can go to all tasks
-    texts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id", "left_semi").select("lang", "text")
+    marked = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for lang, text in rows:
+        for doc, h, lang, text in rows:
             buckets, counts = np.unique(subwords([text])[0], return_counts=True)
-            yield lang, buckets.astype("<u4").tobytes(), counts.astype("<i8").tobytes()
+            yield doc, h, lang, buckets.astype("<u2").tobytes(), counts.astype("<u4").tobytes()
 
-    schema = pa.schema([("lang", pa.string()), ("buckets", pa.binary()), ("counts", pa.binary())])
-    rows = map_rows(texts, kernel, schema, "lang string, buckets binary, counts binary", 200).collect()
-    return [(r.lang, np.frombuffer(r.buckets, "<u4"), np.frombuffer(r.counts, "<i8")) for r in sorted(rows)]
+    def counted(drawn: DataFrame) -> DataFrame:
+        # the sample is bounded, so its ids can go to all tasks
+        texts = marked.join(F.broadcast(drawn), "doc_id").select("doc_id", "h", "lang", "text")
+        schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("mark", pa.string()), ("buckets", pa.binary()), ("vals", pa.binary())])
+        return map_rows(texts, kernel, schema, "doc_id long, h long, mark string, buckets binary, vals binary", 200)
+
+    ids = marked.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return [(lang, np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(c, "<u4").astype(np.int64)) for lang, b, c in sampled(ids, counted, SAMPLE, ENTRIES)]
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -183,7 +189,7 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected; learns from three quarters of the documents."""
     held_out = remainder(F.col("doc_id"), 4) == 2
     model = fit(training_rows(docs, ~held_out))
-    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+    return predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:

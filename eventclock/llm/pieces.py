@@ -47,6 +47,58 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def run_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of ``symbols[starts[i]:ends[i]]``.  Different runs can share it."""
+    power, inverse = _power_tables(len(symbols) + 1)
+    total = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
+    h = (total[ends] - total[starts]) * inverse[starts]
+    return h ^ (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def distinct_runs(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code of each run ``symbols[starts[i]:ends[i]]``, equal exactly for equal runs, and the first run of each code.
+
+    Runs are grouped by a hash, then each is compared with the first of its group symbol by
+    symbol; a group that holds different runs is told apart by the runs themselves.
+    """
+    codes, seen = pd.factorize(run_hashes(symbols, starts, ends))
+    first = _first(codes, len(seen))
+    mixed = _mixed_groups(symbols, starts, ends, codes, first)
+    if len(mixed):
+        known: dict[tuple[int, bytes], int] = {}
+        for i in np.flatnonzero(np.isin(codes, mixed)).tolist():
+            c = int(codes[i])
+            own = known.setdefault((c, symbols[starts[i] : ends[i]].tobytes()), len(seen) + len(known))
+            codes[i] = own
+        codes, seen = pd.factorize(codes)
+        first = _first(codes, len(seen))
+    return codes, first
+
+
+def _first(codes: np.ndarray, count: int) -> np.ndarray:
+    first = np.empty(count, np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return first
+
+
+def _mixed_groups(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Codes under which runs differ."""
+    size, away = ends - starts, starts[first][codes] - starts
+    wrong = size != size[first][codes]
+    found = [codes[wrong]]
+    rest = np.flatnonzero((away != 0) & ~wrong)
+    bounds = np.cumsum(size[rest])
+    cuts = np.searchsorted(bounds, np.arange(CHUNK_CHARS, int(bounds[-1]) if len(bounds) else 0, CHUNK_CHARS))
+    for part in np.split(rest, np.unique(cuts)):
+        n = size[part]
+        at = np.repeat(starts[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        differ = np.flatnonzero(symbols[at] != symbols[at + np.repeat(away[part], n)])
+        if len(differ):
+            found.append(codes[part[np.searchsorted(np.cumsum(n), differ, side="right")]])
+    return np.unique(np.concatenate(found))
+
+
 class Pieces:
     """Pieces of a list of texts: ``joined[starts[i]:ends[i]]`` belongs to text ``owner[i]``."""
 
@@ -54,18 +106,8 @@ class Pieces:
         self.joined, self.points, self.starts, self.ends, self.owner = joined, points, starts, ends, owner
 
     def distinct(self) -> tuple[np.ndarray, list[str]]:
-        """Code of each piece, and the distinct pieces in order of first use.
-
-        Pieces are told apart by a 64-bit polynomial hash and their length.
-        """
-        power, inverse = _power_tables(len(self.points) + 1)
-        total = np.zeros(len(self.points) + 1, np.uint64)
-        np.cumsum((self.points.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * inverse[self.starts]
-        h ^= (self.ends - self.starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        codes, seen = pd.factorize(h)
-        first = np.empty(len(seen), np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        """Code of each piece, and the distinct pieces in order of first use."""
+        codes, first = distinct_runs(self.points, self.starts, self.ends)
         joined = self.joined
         return codes, [joined[a:b] for a, b in zip(self.starts[first].tolist(), self.ends[first].tolist(), strict=True)]
 

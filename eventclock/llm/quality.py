@@ -6,12 +6,16 @@ length, distinct words) and the recorded number of characters, in steps.  The sc
 is a linear part plus all pairwise interactions through low-rank factors, found in time linear in
 the features: half of (square of the sum less sum of the squares), for each factor.
 
-Trained in numpy on at most ``SAMPLE`` labelled documents (smallest hash of their id),
-of whose whole texts the executors send hashed counts only.
-
-Null texts count as empty and have a score too; labels for absent documents and null
-labels are not used; with no label, or one kind only, every text has the share of
-good ones as its score (0.5 without any).
+Trained in numpy on at most ``SAMPLE`` labelled documents (smallest hash of their id) and
+``ENTRIES`` hashed counts, which is what the executors send of their whole texts.
+
+Null texts count as empty and have a score too; labels for absent documents, null
+labels and such beside 0 and 1 are not used; with no label, or one kind only, every text
+has the share of good ones as its score (0.5 without any).  A document with labels of
+both kinds is a bad one.  A score of 0.5 counts as good.  Rows that repeat each have
+their score; in the sample an id counts once.  A null id is scored, not learned from and
+not held out.  Very long texts are read whole.  Columns but ``doc_id``, ``text`` and
+``n_chars`` (a number, else ignored) are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventclock.llm.common import bounded_batches, filter_rows, map_rows, text_column
+from eventclock.llm.common import bounded_batches, filter_rows, map_rows, sampled, text_column
 from eventclock.llm.language_id import remainder
-from eventclock.llm.pieces import _power_tables, chunks
+from eventclock.llm.pieces import chunks, run_hashes
 from eventclock.llm.shingles import mix
 
-BUCKETS, FACTORS, SAMPLE, EPOCHS, RATE, STEPS = 1 << 14, 6, 6_000, 12, 0.1, 10
+BUCKETS, FACTORS, SAMPLE, ENTRIES, EPOCHS, RATE, STEPS = 1 << 14, 6, 6_000, 8_000_000, 12, 0.1, 10
 _WORD, _MARK, _GAP = 0, 1, 2
 _kind = np.full(256, _MARK, np.uint8)
 _kind[128:] = _WORD
@@ -49,10 +53,7 @@ def features(texts: list[str], sizes: list[int | None]) -> tuple[np.ndarray, np.
     ends = np.append(starts[1:], len(data))
     run = kind[starts] != _GAP
     starts, ends = starts[run], ends[run]
-    power, inverse = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
-    h = mix((total[ends] - total[starts]) * inverse[starts])
+    h = mix(run_hashes(lower, starts, ends))
     stops = np.cumsum([len(r) + 1 for r in raw]).astype(np.int64)
     begins = np.append(0, stops[:-1])
     owner = np.searchsorted(stops, starts, side="right")
@@ -142,24 +143,34 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 5) -> Qualit
 
 
 def _size(docs: DataFrame) -> Column:
-    return F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    return F.col("n_chars").try_cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Features of the sample: at most SAMPLE documents and ENTRIES values."""
     bounded_batches(docs.sparkSession)
-    marked = labels.where(learn & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    drawn = marked.select("*", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id", "quality").limit(SAMPLE).select("doc_id", "quality")
-    # the sample is bounded, so it can go to all tasks
-    texts = docs.select("doc_id", text_column(docs).alias("text"), _size(docs).alias("size")).join(F.broadcast(drawn), "doc_id").select("quality", "text", "size")
+    quality = F.col("quality").cast("int")
+    marked = labels.where(learn & quality.isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(quality).alias("quality"))
 
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
-        for quality, text, size in rows:
+        for doc, h, mark, text, size in rows:
             buckets, values, _ = features([text], [size])
-            yield quality, buckets.astype("<i4").tobytes(), values.astype("<f8").tobytes()
+            yield doc, h, mark, buckets.astype("<u2").tobytes(), values.astype("<f4").tobytes()
+
+    def counted(drawn: DataFrame) -> DataFrame:
+        # the sample is bounded, so it can go to all tasks
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"), _size(docs).alias("size")).join(F.broadcast(drawn), "doc_id").select("doc_id", "h", "quality", "text", "size")
+        schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("mark", pa.int32()), ("buckets", pa.binary()), ("vals", pa.binary())])
+        return map_rows(texts, kernel, schema, "doc_id long, h long, mark int, buckets binary, vals binary", 200)
+
+    return [(q, np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for q, b, v in sampled(marked, counted, SAMPLE, ENTRIES)]
+
 
-    schema = pa.schema([("quality", pa.int32()), ("buckets", pa.binary()), ("n", pa.binary())])
-    rows = map_rows(texts, kernel, schema, "quality int, buckets binary, vals binary", 200).collect()
-    return [(r.quality, np.frombuffer(r.buckets, "<i4"), np.frombuffer(r.vals, "<f8")) for r in sorted(rows)]
+def _whole(size) -> int | None:
+    try:
+        return int(size)
+    except (TypeError, ValueError):
+        return None
 
 
 def predict(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -180,7 +191,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; learns from two thirds of the labels."""
     held_out = remainder(F.col("doc_id"), 3) == 1
     model = fit(training_rows(docs, labels, ~held_out))
-    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return predict(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -192,7 +203,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def decide(rows: list[tuple]) -> list[bool]:
         out = []
         for group in chunks(rows, 0):
-            sizes = [None if not sized or r[1] is None else int(r[1]) for r in group]
+            sizes = [_whole(r[1]) if sized else None for r in group]
             out += (shared.value.scores([r[0] or "" for r in group], sizes) >= 0.5).tolist()
         return out
 

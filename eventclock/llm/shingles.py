@@ -1,13 +1,21 @@
-"""Word shingles of many texts at once, with numpy."""
+"""Word shingles of many texts at once, with numpy.
+
+A word stands for itself by a keyed 128-bit digest of its bytes, a shingle by a 64-bit
+number mixed from its words' digests in order.  Within two sets of n shingles, different
+shingles share a number with a chance below n * n / 2**64.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
-from eventclock.llm.pieces import _power_tables
+from eventclock.llm.pieces import distinct_runs
 
+_KEY, _MOST_WORDS = b"word shingles", 400_000
+_digests: dict[bytes, bytes] = {}
 _space = np.zeros(256, bool)
 _space[[32, *range(9, 14)]] = True
 
@@ -19,39 +27,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of each word, A-Z lower-cased, parted by ASCII white space; and the words of each text."""
+def word_digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digest of each word as two numbers, A-Z lower-cased, parted by ASCII white space; and the words of each text."""
     raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
-    data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+    joined = b" ".join([*raw, b""])
+    data = np.frombuffer(joined, np.uint8)
     if not len(data):
-        return np.empty(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.empty((2, 0), np.uint64), np.zeros(len(texts), np.int64)
     gap = _space[data]
     word = ~gap
     starts = np.flatnonzero(word & np.append(True, gap[:-1]))
     ends = np.flatnonzero(gap & np.append(False, word[:-1]))
-    power, inverse = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
+    codes, first = distinct_runs(data, starts, ends)
+    if len(_digests) > _MOST_WORDS:
+        _digests.clear()
+    out = []
+    for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
+        own = joined[a:b]
+        digest = _digests.get(own)
+        if digest is None:
+            digest = hashlib.blake2b(own, digest_size=16, key=_KEY).digest()
+            if b - a <= 64:  # long words are rare, the memo stays small
+                _digests[own] = digest
+        out.append(digest)
     stops = np.cumsum([len(r) + 1 for r in raw])
-    return mix((total[ends] - total[starts]) * inverse[starts] ^ (ends - starts).astype(np.uint64)), np.diff(np.searchsorted(starts, stops), prepend=0)
+    return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2).T[:, codes], np.diff(np.searchsorted(starts, stops), prepend=0)
+
+
+def _joined(parts: list[np.ndarray], size: int) -> np.ndarray:
+    """A number of each sequence of words; parts: digests of its words in order."""
+    s = np.full(parts[0].shape[1], mix(np.array([size], np.uint64))[0])
+    for one, two in parts:
+        s ^= one
+        s *= np.uint64(0x9E3779B97F4A7C15)
+        s += two
+        s ^= s >> np.uint64(32)
+    return mix(s)
 
 
 def shingle_sets(texts: list[str], words: int = 5) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; of fewer words, the whole sequence is one shingle."""
-    h, counts = word_hashes(texts)
-    seed = mix(np.arange(1, words + 1, dtype=np.uint64)) | np.uint64(1)
-    if len(h) >= words:
-        n = len(h) - words + 1
-        s = h[:n] * seed[0]
-        for k in range(1, words):
-            s = s + h[k : k + n] * seed[k]
-        s = mix(s)
+    """Sorted distinct shingle numbers of each text; of fewer words, the whole sequence is one shingle."""
+    h, counts = word_digests(texts)
+    n = h.shape[1] - words + 1
+    s = _joined([h[:, k : k + n] for k in range(words)], words) if n > 0 else h[0, :0]
     at = 0
     for c in counts.tolist():
         if c >= words:
             yield np.unique(s[at : at + c - words + 1])
         elif c:
-            yield mix(((h[at : at + c] * seed[:c]).sum(keepdims=True) ^ np.uint64(c)) + np.uint64(c))
+            yield _joined([h[:, at + k : at + k + 1] for k in range(c)], c)
         else:
             yield np.empty(0, np.uint64)
         at += c

@@ -1,15 +1,17 @@
 """Operator 5: URL rules behind a blocked Bloom filter, DataFrame functions only.
 
 A rule is a canonical URL: a host, which stands for its subdomains too, and the
-beginning of a path.  Each URL has a bounded number of candidates: its host and the
-domains above it, each with the path's beginning in every length that a rule has.
-The candidates pass a Bloom filter whose blocks are rows of 256 bits: one lookup of a
-block decides.  Those that pass meet the rules in an exact join that removes false
-positives.  The filter is broadcast only up to ``BROADCAST_BLOCKS`` blocks.
+beginning of a path.  A URL has a candidate for each pair of a number of labels that
+some rule's host has and a length that some rule's path has, so their number is bounded
+by the rules, whatever the URL.  The candidates pass a Bloom filter are rows of 256 bits: one lookup of a block decides.  Those that pass meet the rules in
+an exact join that removes false positives.  The filter is broadcast only up to
+``BROADCAST_BLOCKS`` blocks.
 
 A null URL or one without ``://`` has an empty host and path and fits no rule with a
-host.  Of rules that fit the longest wins; a rule listed as both is a block.  A URL
-that fits none is allowed.  Rows that repeat each give a row.
+host.  Of rules that fit the longest wins; a rule listed as both is a block; a null rule,
+or one whose host or path no URL has, fits none.  A URL that fits none is allowed, as all
+are without rules.  URLs of any length are read whole.  Null ids and rows that repeat each
+give a row, no pages give none; columns but ``page_id`` and ``url`` are not read.
 """
 
 from __future__ import annotations
@@ -50,22 +52,22 @@ def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
 
 def filter_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict of every row."""
-    keyed = rules.select(F.concat("host", "path").alias("key"), F.length("host").alias("host_size"), F.length("path").alias("path_size"), "verdict")
-    listed = keyed.groupBy("key", "host_size", "path_size").agg(F.max("verdict").alias("verdict"))
-    facts = listed.agg(F.count(F.lit(1)), F.collect_set("path_size")).first()  # lengths of paths: as many as lengths differ
-    blocks = max(1, -(-facts[0] * BITS_PER_RULE // BLOCK_BITS))
+    # a host has none of /?#, a path is empty or begins with /: the first / parts them in a key
+    usable = rules.where(r"host NOT RLIKE '[/?#]' AND path NOT RLIKE '[?#]' AND (path = '' OR startswith(path, '/')) AND verdict IS NOT NULL")
+    keyed = usable.select(F.concat("host", "path").alias("key"), F.size(F.split("host", r"\.", -1)).alias("labels"), F.length("path").alias("path_size"), F.length("host").alias("host_size"), "verdict")
+    listed = keyed.groupBy("key", "labels", "path_size", "host_size").agg(F.max("verdict").alias("verdict"))
+    # numbers of labels and lengths of paths: as many as differ among the rules
+    count, sizes = listed.agg(F.count(F.lit(1)), F.collect_set(F.struct("labels", "path_size"))).first()
+    blocks = max(1, -(-count * BITS_PER_RULE // BLOCK_BITS))
     bloom = bloom_filter(listed, blocks)
     if blocks <= BROADCAST_BLOCKS:
         bloom = F.broadcast(bloom)
 
     host, path = host_and_path(pages["url"])
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    sizes = F.array(*[F.lit(n) for n in sorted(facts[1])]).cast("array<int>")
-    labels = F.split(F.col("host"), r"\.", -1)
-    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    starts = F.transform(F.filter(sizes, lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
-    keys = F.flatten(F.transform(above, lambda h: F.transform(starts, lambda p: F.concat(h, p))))
-    tried = urls.where("host != '' or path != ''").select("host", "path", F.explode(keys).alias("key"))
+    keys = [F.when(F.length("path") >= n, F.concat(F.substring_index("host", ".", -k), F.col("path").substr(F.lit(1), F.lit(n)))) for k, n in sorted(map(tuple, sizes))]
+    # most end at the filter, where they are read; what passes is combined by URL before the shuffle
+    tried = urls.where("host != '' or path != ''").select("host", "path", F.explode(F.array_distinct(F.array(*keys or [F.lit(None).cast("string")]))).alias("key")).where("key IS NOT NULL")
     block, words = probe(F.col("key"), blocks)
     probes = tried.select("*", block.alias("block"), *[w.alias(f"b{k}") for k, w in enumerate(words)])
     passed = probes.join(bloom, "block").where(" and ".join(f"(w{k} & b{k}) = b{k}" for k in range(len(words)))).select("host", "path", "key")

@@ -6,7 +6,10 @@ many pieces that takes off.  So each byte is looked at once, and pieces are neve
 built.  The last byte of a word is a symbol of its own, as pieces that end a word
 are of their own in the vocabulary.
 
-Nulls, empty texts and texts of white space have no words and no tokens.
+Nulls, empty texts and texts of white space have no words and no tokens; a null doc_id
+stays null.  Very long texts and words are read whole.  Rows that repeat each give a row;
+the longest match is unique, so nothing ties.  Columns but ``doc_id`` and ``text`` are not
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
