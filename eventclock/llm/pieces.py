@@ -19,7 +19,9 @@ import pandas as pd
 import regex
 
 LETTER, NUMBER, SPACE, OTHER, END = range(5)
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 400_000
+#: Symbols of runs that are compared at once.
+_PORTION = 1 << 17
 _UNKNOWN = 255
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
@@ -89,7 +91,7 @@ def _mixed_groups(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, cod
     found = [codes[wrong]]
     rest = np.flatnonzero((away != 0) & ~wrong)
     bounds = np.cumsum(size[rest])
-    cuts = np.searchsorted(bounds, np.arange(CHUNK_CHARS, int(bounds[-1]) if len(bounds) else 0, CHUNK_CHARS))
+    cuts = np.searchsorted(bounds, np.arange(_PORTION, int(bounds[-1]) if len(bounds) else 0, _PORTION))
     for part in np.split(rest, np.unique(cuts)):
         n = size[part]
         at = np.repeat(starts[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))

@@ -14,8 +14,7 @@ import numpy as np
 
 from eventclock.llm.pieces import distinct_runs
 
-_KEY, _MOST_WORDS = b"word shingles", 400_000
-_digests: dict[bytes, bytes] = {}
+_KEY = b"word shingles"
 _space = np.zeros(256, bool)
 _space[[32, *range(9, 14)]] = True
 
@@ -39,17 +38,8 @@ def word_digests(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(word & np.append(True, gap[:-1]))
     ends = np.flatnonzero(gap & np.append(False, word[:-1]))
     codes, first = distinct_runs(data, starts, ends)
-    if len(_digests) > _MOST_WORDS:
-        _digests.clear()
-    out = []
-    for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True):
-        own = joined[a:b]
-        digest = _digests.get(own)
-        if digest is None:
-            digest = hashlib.blake2b(own, digest_size=16, key=_KEY).digest()
-            if b - a <= 64:  # long words are rare, the memo stays small
-                _digests[own] = digest
-        out.append(digest)
+    digest = hashlib.blake2b
+    out = [digest(joined[a:b], digest_size=16, key=_KEY).digest() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
     stops = np.cumsum([len(r) + 1 for r in raw])
     return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2).T[:, codes], np.diff(np.searchsorted(starts, stops), prepend=0)
 
