@@ -219,7 +219,8 @@ def _tiles(rows: Iterator[tuple]) -> Iterator[tuple[tuple, list[tuple]]]:
 def _possible(filed: DataFrame, cosine: float) -> DataFrame:
     """The tiles in which a vector has a partner that its sketch does not rule out."""
     deals = filed.select("label", "dim", "rep", "d1", "s1", "s2", F.explode("at").alias("f"))
-    hot = deals.groupBy("label", "dim", "f").count().where(F.col("count") > TILE).select("label", "dim", "f", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
+    # written, so that the planner sees how small it is before it shuffles what meets it
+    hot = written(deals.groupBy("label", "dim", "f").count().where(F.col("count") > TILE).select("label", "dim", "f", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "hot")
     tiles = F.coalesce("tiles", F.lit(1))
     tile = F.pmod(F.xxhash64("rep", "d1"), tiles).cast("int")
     spread = deals.join(hot, ["label", "dim", "f"], "left").withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
@@ -291,7 +292,7 @@ def near_links(vectors: DataFrame, cosine: float = 0.93) -> tuple[DataFrame, Dat
     """Representatives (label, dim, d1, d2, rep, n, vector) and what each links with: (rep, d1, links, to)."""
     stored, able = _stored(vectors), digested(vectors).where("dim IS NOT NULL")
     reps = written(able.groupBy("label", "dim", "d1", "d2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("vector").alias("vector")), "vectors", "none")
-    totals = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("total"))
+    totals = written(reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("total")), "totals")
     filed = written(_filed(reps.join(totals, ["label", "dim"]), stored), "filed")
     possible = written(_possible(filed, cosine), "possible")
     # vectors go only where a partner may be; an id with two vectors is two here, told apart by d1
