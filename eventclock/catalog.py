@@ -249,6 +249,17 @@ def _model_rows_sql() -> str:
     return f"(SELECT b.split, l.y, b.key, b.bar_ix, {', '.join(_model_columns())} FROM {bars} b JOIN ({labels.check(bars, 'ker_fast')}) l USING (key, bar_ix) {joins_})"
 
 
+def _cell_sql(key: str) -> str:
+    """A logistic cell by hand: fitted scores, isotonic steps, sizes and their score on VAL."""
+    bars = tables.bars_sql()
+    scored = model_checks.logit_check(_model_rows_sql(), _model_columns(), places=None)
+    known = f"SELECT s.key, s.bar_ix, s.score, l.y, b.split, min(CASE WHEN b.split = 'test' THEN s.bar_ix END) OVER (PARTITION BY s.key) AS first_test FROM ({scored}) s JOIN {bars} b USING (key, bar_ix) JOIN ({labels.check(bars, 'ker_fast')}) l USING (key, bar_ix)"
+    judged = f"(SELECT key, bar_ix, score, y, split = 'val' AND y >= 0 AND bar_ix < coalesce(first_test, 9e18) - 200 AS judges FROM ({known}))"
+    preds = f"(SELECT b.*, c.p FROM {bars} b JOIN ({model_checks.isotonic_check(judged, None)}) c USING (key, bar_ix) WHERE b.split = 'val')"
+    sized = f"SELECT s.*, b.lr FROM ({sizing.size_check(preds, 'cdf_plain', 0.5)}) s JOIN {bars} b USING (key, bar_ix)"
+    return f"SELECT *, '{key}' AS cell FROM ({performance.score_check(sized)})"
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in probabilities as scores to calibrate on VAL."""
     preds = tables.preds(spark, sf_dir)
@@ -274,6 +285,7 @@ def _models() -> tuple[dict[str, Query], dict[str, str]]:
         bars = tables.bars(spark, sf_dir)
         return labels.build(bars, "ker_fast").join(bars.select("key", "bar_ix", "split"), ["key", "bar_ix"])
 
+    plain = config.CellConfig("ALL", "tick", "ker_fast", 0.5, "cdf_plain", model="logit")
     found: dict[str, Query] = {
         "model_auc": lambda spark, sf_dir: models.auc(scored(spark, sf_dir)),
         "model_information": lambda spark, sf_dir: models.binned_information(longs(spark, sf_dir)),
@@ -281,7 +293,7 @@ def _models() -> tuple[dict[str, Query], dict[str, str]]:
         "model_masks_purged": lambda spark, sf_dir: models.masks(with_split(spark, sf_dir), 200, True),
         "model_permuted": lambda spark, sf_dir: models.permuted(with_split(spark, sf_dir)).groupBy("key").agg(F.sum("y").alias("ones"), F.count(F.lit(1)).alias("n")),
         "model_folds": lambda spark, sf_dir: models.folds(with_split(spark, sf_dir)).groupBy("key", "fold").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col(f"train_{f}"), 1)).alias(f"n{f}") for f in range(3)]),
-        "cell": lambda spark, sf_dir: cell.run(tables.bars(spark, sf_dir), config.CellConfig("ALL", "tick", "ker_fast", 0.5, "cdf_plain", model="logit")),
+        "cell": lambda spark, sf_dir: cell.run(tables.bars(spark, sf_dir), plain),
         "cell_survival": lambda spark, sf_dir: cell.run(tables.bars(spark, sf_dir), config.CellConfig("ALL", "tick", "survival_aft", 0.5, "cdf_plain")),
         "cell_meta": lambda spark, sf_dir: _meta(spark, sf_dir),
     }
@@ -305,6 +317,7 @@ SELECT r.key, r.fold, count(DISTINCT r.bar_ix) AS n, {', '.join(f"count(CASE WHE
     for kind in models.CALIBRATIONS:
         found[f"calibrate_{kind}"] = lambda spark, sf_dir, k=kind: models.calibrate(_judged(spark, sf_dir), k).select("key", "bar_ix", F.round("p", 6).alias("p"))
     judged = f"(SELECT key, bar_ix, round(p, 2) AS score, CASE WHEN lr > 0 THEN 1 ELSE 0 END AS y, split = 'val' AS judges FROM {tables.preds_sql()})"
+    sql |= {"cell": _cell_sql(plain.key()), "fit_logit": model_checks.logit_check(_model_rows_sql(), _model_columns()), "calibrate_beta": model_checks.beta_check(judged)}
     sql |= {"calibrate_isotonic": model_checks.isotonic_check(judged), "calibrate_venn_abers": model_checks.venn_abers_check(judged)}
     found["model_best_cell"] = lambda spark, sf_dir: models.best_cell(_cells(spark, sf_dir)).select("key", "cell")
     sql["model_best_cell"] = "SELECT c_mktsegment AS key, c_name AS cell FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal + CASE WHEN abs(0.6 - round(0.5 + c_custkey % 20 / 100, 2)) >= 0.05 THEN 1e6 ELSE 0 END, c_name) = 1"

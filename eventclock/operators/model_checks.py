@@ -99,7 +99,7 @@ def scaler_check(source: str, columns: list[str]) -> str:
     return f"WITH {_moments(source, columns, False).lstrip()} SELECT j AS feature, round(mean, 6) AS mean, round(scale, 6) AS scale FROM m"
 
 
-def isotonic_check(source: str) -> str:
+def isotonic_check(source: str, places: int | None = 6) -> str:
     """key, bar_ix, p: the highest of the lowest means, between fitted scores a straight line; input key, bar_ix, score, y, judges."""
     return f"""
 WITH rows AS MATERIALIZED (SELECT * FROM {source}),
@@ -109,7 +109,7 @@ a AS (SELECT i.k AS first, j.k AS last, (j.ct - i.ct + i.t) / (j.cn - i.cn + i.n
 b AS (SELECT first, last AS k, min(mean) OVER (PARTITION BY first ORDER BY last DESC) AS low FROM a),
 fit AS MATERIALIZED (SELECT k, score, max(low) AS p FROM b JOIN o USING (k) GROUP BY k, score),
 near AS (SELECT r.key, r.bar_ix, r.score, l.score AS s0, l.p AS p0, h.score AS s1, h.p AS p1 FROM rows r ASOF LEFT JOIN fit l ON r.score >= l.score ASOF LEFT JOIN fit h ON r.score <= h.score)
-SELECT key, bar_ix, round(CASE WHEN s0 IS NULL THEN p1 WHEN s1 IS NULL OR s1 = s0 THEN p0 ELSE p0 + (p1 - p0) * (score - s0) / (s1 - s0) END, 6) AS p FROM near"""
+SELECT key, bar_ix, {_placed("CASE WHEN s0 IS NULL THEN p1 WHEN s1 IS NULL OR s1 = s0 THEN p0 ELSE p0 + (p1 - p0) * (score - s0) / (s1 - s0) END", places)} AS p FROM near"""
 
 
 def venn_abers_check(source: str) -> str:
@@ -143,3 +143,54 @@ best AS (SELECT id, strategy FROM z WHERE inside = 1 QUALIFY row_number() OVER (
 own AS (SELECT z.id, z.ratio FROM z JOIN best USING (id, strategy) WHERE inside = 0),
 rank AS (SELECT z.id, 1 + count(*) FILTER (z.ratio < own.ratio) AS rank FROM z JOIN own ON own.id = z.id AND z.inside = 0 GROUP BY z.id)
 SELECT avg(CASE WHEN rank / ((SELECT k FROM k) + 1) <= 0.5 THEN 1.0 ELSE 0.0 END) AS pbo, count(*) AS combinations FROM rank"""
+
+
+def _newton(d: int, rounds: int, ridge: str) -> str:
+    """Weights b of a logistic loss over long rows g (id, j, x, with j = d always one) and rows t (id, y, w), by Newton's rule.
+
+    A round builds the matrix of curvatures with the slopes beside it and clears it column by column.
+    """
+    text = f",\nb0 AS MATERIALIZED (SELECT CAST(range AS INTEGER) AS j, 0.0::DOUBLE AS b FROM range({d + 1}))"
+    for k in range(rounds):
+        text += f""",
+p{k} AS MATERIALIZED (SELECT id, any_value(y) AS y, any_value(w) AS w, 1 / (1 + exp(-greatest(-500.0, least(500.0, sum(x * b))))) AS p FROM g JOIN t USING (id) JOIN b{k} USING (j) GROUP BY id),
+h{k}_0 AS MATERIALIZED (
+  SELECT l.j AS i, r.j, sum(l.x * r.x * w * p * (1 - p)) + CASE WHEN l.j = r.j AND l.j < {d} THEN {ridge} ELSE 0.0 END AS v FROM p{k} JOIN g l USING (id) JOIN g r USING (id) GROUP BY l.j, r.j
+  UNION ALL SELECT j, {d + 1}, sum(x * w * (p - y)) + CASE WHEN j < {d} THEN {ridge} * any_value(b) ELSE 0.0 END FROM p{k} JOIN g USING (id) JOIN b{k} USING (j) GROUP BY j
+)"""
+        for c in range(d + 1):
+            text += f""",
+h{k}_{c + 1} AS MATERIALIZED (
+  SELECT a.i, a.j, CASE WHEN a.i = {c} THEN a.v / piv.v ELSE a.v - col.v * row.v / piv.v END AS v
+  FROM h{k}_{c} a JOIN h{k}_{c} col ON col.i = a.i AND col.j = {c} JOIN h{k}_{c} row ON row.i = {c} AND row.j = a.j, (SELECT v FROM h{k}_{c} WHERE i = {c} AND j = {c}) piv
+  WHERE a.j > {c}
+)"""
+        text += f",\nb{k + 1} AS MATERIALIZED (SELECT b.j, b - v AS b FROM b{k} b JOIN h{k}_{d + 1} h ON h.i = b.j AND h.j = {d + 1})"
+    return text + f",\nb AS MATERIALIZED (SELECT * FROM b{rounds})"
+
+
+def logit_check(source: str, columns: list[str], n: int = 20, rounds: int = 12, places: int | None = 6) -> str:
+    """key, bar_ix, score of the logistic model on the first n columns that do not correlate."""
+    return f"""
+WITH RECURSIVE {_moments(source, columns, False).lstrip()}{_PRUNED},
+picked AS (SELECT j, row_number() OVER (ORDER BY j) - 1 AS part FROM (SELECT unnest(js[1:{n}]) AS j FROM pruned)),
+z AS MATERIALIZED (SELECT key, bar_ix, f.fits, CAST(part AS INTEGER) AS j, (x - mean) / scale AS x FROM f JOIN m USING (j) JOIN picked USING (j) UNION ALL SELECT key, bar_ix, fits, {n}, 1.0 FROM rows),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS ones FROM rows WHERE fits),
+t AS MATERIALIZED (SELECT key || '/' || bar_ix AS id, y, CASE WHEN y = 1 THEN n / (2 * ones) ELSE n / (2 * (n - ones)) END AS w FROM rows, n WHERE fits),
+g AS MATERIALIZED (SELECT key || '/' || bar_ix AS id, j, x FROM z WHERE fits){_newton(n, rounds, "1.0")}
+SELECT key, bar_ix, {_placed("1 / (1 + exp(-sum(x * b)))", places)} AS score FROM z JOIN b USING (j) GROUP BY key, bar_ix"""
+
+
+def _placed(text: str, places: int | None) -> str:
+    return text if places is None else f"round({text}, {places})"
+
+
+def beta_check(source: str, rounds: int = 12) -> str:
+    """key, bar_ix, p by a logistic model on the logarithms of the score and of the rest."""
+    q = "least(greatest(score, 1e-6), 1 - 1e-6)"
+    return f"""
+WITH rows AS MATERIALIZED (SELECT *, key || '/' || bar_ix AS id FROM {source}),
+z AS MATERIALIZED (SELECT key, bar_ix, id, judges, 0 AS j, ln({q}) AS x FROM rows UNION ALL SELECT key, bar_ix, id, judges, 1, -ln(1 - {q}) FROM rows UNION ALL SELECT key, bar_ix, id, judges, 2, 1.0 FROM rows),
+t AS MATERIALIZED (SELECT id, y, 1.0 AS w FROM rows WHERE judges),
+g AS MATERIALIZED (SELECT id, j, x FROM z WHERE judges){_newton(2, rounds, "(SELECT 1e-6 * count(*) FROM t)")}
+SELECT key, bar_ix, round(1 / (1 + exp(-sum(x * b))), 6) AS p FROM z JOIN b USING (j) GROUP BY key, bar_ix"""
