@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet
 and read again as the next stage's docs.  The first four drop documents and keep the
 columns; the last gives the packed pieces of what is left.
+
+Null and empty texts and texts without a letter go with the language stage at the latest;
+a document without an id links with nothing near and stays.  Repeated rows and equal
+texts leave one row.  Very long texts are read whole by each stage; extra columns, whatever
+their names, pass through all but the last.  No documents give no pieces.
 """
 
 from __future__ import annotations

@@ -456,29 +456,29 @@ def two_stage(b: Bars) -> Iterator[Try]:
             yield y, min(ones, 1 - ones)
 
 
-def gaussian_mixture(x: np.ndarray, k: int, rounds: int = 100, prior: float = 0.0) -> Callable[[np.ndarray], np.ndarray]:
-    """Mixture with full covariances by expectation maximisation from k-means; gives shares of each component.
+def _shares(logs: np.ndarray) -> np.ndarray:
+    e = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
 
-    prior: Dirichlet weight below one lets needless components shrink.
-    """
+
+def _log_normal(z: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    c = z - mean
+    return -0.5 * (((c @ np.linalg.inv(spread)) * c).sum(axis=1) + np.linalg.slogdet(2 * np.pi * spread)[1])
+
+
+def gaussian_mixture(x: np.ndarray, k: int, rounds: int = 100) -> Callable[[np.ndarray], np.ndarray]:
+    """Mixture with full covariances by expectation maximisation from k-means; gives shares of each component."""
     own, means = two_means(x, np.ones(len(x), bool), k)
     d = x.shape[1]
     share = np.eye(k)[own]
     for _ in range(rounds):
         n = share.sum(axis=0) + 1e-9
-        weight = np.maximum(n + prior - 1 if prior else n, 1e-9)
-        weight = weight / weight.sum()
+        weight = n / n.sum()
         means = share.T @ x / n[:, None]
         spread = np.stack([(share[:, j, None] * (x - means[j])).T @ (x - means[j]) / n[j] + 1e-5 * np.eye(d) for j in range(k)])
 
         def part(z: np.ndarray, weight=weight, means=means, spread=spread) -> np.ndarray:
-            logs = []
-            for j in range(k):
-                c = z - means[j]
-                logs.append(np.log(weight[j]) - 0.5 * ((c @ np.linalg.inv(spread[j])) * c).sum(axis=1) - 0.5 * np.linalg.slogdet(spread[j])[1])
-            logs = np.stack(logs, axis=1)
-            e = np.exp(logs - logs.max(axis=1, keepdims=True))
-            return e / e.sum(axis=1, keepdims=True)
+            return _shares(np.stack([np.log(weight[j]) + _log_normal(z, means[j], spread[j]) for j in range(k)], axis=1))
 
         new = part(x)
         if np.abs(new - share).max() < 1e-5:
@@ -488,12 +488,53 @@ def gaussian_mixture(x: np.ndarray, k: int, rounds: int = 100, prior: float = 0.
     return part
 
 
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Slope of the logarithm of the gamma function, for positive values."""
+    x, out = np.array(x, float), 0.0
+    for _ in range(6):
+        out, x = out - 1 / x, x + 1
+    r = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r / 240)))
+
+
+def bayesian_mixture(x: np.ndarray, k: int, concentration: float = 0.1, rounds: int = 300) -> Callable[[np.ndarray], np.ndarray]:
+    """Mixture whose weights are broken off a stick, by variational Bayes from k-means; gives shares of each component.
+
+    Priors: the data's mean with one row's weight, its covariance with as many degrees of
+    freedom as columns.  Components that the data don't need shrink.
+    """
+    d = x.shape[1]
+    own, _ = two_means(x, np.ones(len(x), bool), k)
+    share, centre, wide = np.eye(k)[own], x.mean(axis=0), np.cov(x.T)
+    for _ in range(rounds):
+        n = share.sum(axis=0) + 1e-9
+        mean = share.T @ x / n[:, None]
+        held = 1 + n
+        means = (centre + n[:, None] * mean) / held[:, None]
+        freedom = d + n
+        spread = np.stack([(wide + (share[:, j, None] * (x - mean[j])).T @ (x - mean[j]) + n[j] * 1e-6 * np.eye(d) + n[j] / held[j] * np.outer(mean[j] - centre, mean[j] - centre)) / freedom[j] for j in range(k)])
+        one, rest = 1 + n, concentration + np.append(np.cumsum(n[::-1])[-2::-1], 0.0)
+        total = digamma(one + rest)
+        weight = digamma(one) - total + np.append(0.0, np.cumsum(digamma(rest) - total)[:-1])
+        looser = sum(digamma(0.5 * (freedom - i)) for i in range(d)) + d * math.log(2) - d / held - d * np.log(freedom)
+
+        def part(z: np.ndarray, weight=weight, looser=looser, means=means, spread=spread) -> np.ndarray:
+            return _shares(np.stack([weight[j] + 0.5 * looser[j] + _log_normal(z, means[j], spread[j]) for j in range(k)], axis=1))
+
+        new = part(x)
+        if np.abs(new - share).max() < 1e-4:
+            break
+        share = new
+    part.means = means
+    return part
+
+
 def calm_mixture(b: Bars) -> Iterator[Try]:
     for h in (50, 100, 200):
         calm = _calm(b, h)
         x, train = _moves(b, h, calm)
         for k in (3, 4, 5) if train.sum() >= 100 else ():
-            part = gaussian_mixture(x[train], k, prior=0.1)
+            part = bayesian_mixture(x[train], k)
             share = part(x)
             up = part.means[:, 0].argmax()
             y = np.full(b.n, -1)
@@ -603,13 +644,13 @@ def jumps(b: Bars) -> Iterator[Try]:
 
 
 class GaussianChain:
-    """Hidden Markov chain with diagonal Gaussian emissions, by expectation maximisation."""
+    """Hidden Markov chain with Gaussian emissions, by expectation maximisation; ``full`` covariances or variances only."""
 
-    def __init__(self, x: np.ndarray, k: int, sticky: float = 0.0, rounds: int = 15):
-        self.k = k
+    def __init__(self, x: np.ndarray, k: int, sticky: float = 0.0, rounds: int = 15, full: bool = False):
+        self.k, d = k, x.shape[1]
         self.means = np.tile(x.mean(axis=0), (k, 1))
         self.means[:, 0] = np.quantile(x[:, 0], (np.arange(k) + 0.5) / k)
-        self.spread = np.tile(x.var(axis=0) + 1e-9, (k, 1))
+        self.spread = np.tile(np.diag(x.var(axis=0) + 1e-9), (k, 1, 1))
         stay = sticky or 0.9
         self.turn = np.full((k, k), (1 - stay) / (k - 1)) + (stay - (1 - stay) / (k - 1)) * np.eye(k)
         self.start = np.full(k, 1 / k)
@@ -621,12 +662,18 @@ class GaussianChain:
                 if self.turn[j, j] < sticky:
                     rest = rest / rest.sum() * (1 - sticky) if rest.sum() > 0 else np.full(k - 1, (1 - sticky) / (k - 1))
                     self.turn[j] = np.insert(rest, j, sticky)
-            weight = share.sum(axis=0)[:, None] + 1e-12
-            self.means = share.T @ x / weight
-            self.spread = np.maximum(share.T @ (x * x) / weight - self.means**2, 0) + 1e-9
+            weight = share.sum(axis=0) + 1e-12
+            self.means = share.T @ x / weight[:, None]
+            for j in range(k):
+                off = x - self.means[j]
+                both = (share[:, j, None] * off).T @ off / weight[j]
+                self.spread[j] = (both if full else np.diag(np.diag(both))) + 1e-9 * np.eye(d)
 
     def _emit(self, x: np.ndarray) -> np.ndarray:
-        logs = -0.5 * (((x[:, None] - self.means) ** 2 / self.spread) + np.log(2 * np.pi * self.spread)).sum(axis=2)
+        logs = np.empty((len(x), self.k))
+        for j in range(self.k):
+            off = x - self.means[j]
+            logs[:, j] = -0.5 * (((off @ np.linalg.inv(self.spread[j])) * off).sum(axis=1) + np.linalg.slogdet(2 * np.pi * self.spread[j])[1])
         return np.exp(logs - logs.max(axis=1, keepdims=True)) + 1e-300
 
     def filtered(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -656,7 +703,7 @@ def hidden_states(b: Bars) -> Iterator[Try]:
     x = np.stack([b.lr, np.abs(b.lr)], axis=1)
     if b.train.sum() < 200:
         return
-    state = GaussianChain(x[b.train], 3, rounds=50).filtered(x)[0].argmax(axis=1)
+    state = GaussianChain(x[b.train], 3, rounds=100, full=True).filtered(x)[0].argmax(axis=1)
     for h in (50, 100, 200):
         yield (states(b, state, 3, h),)
 
@@ -758,7 +805,10 @@ def smoothed_trend(b: Bars) -> Iterator[Try]:
 
 
 def run_lengths(x: np.ndarray, mean: float, var: float, hazard: float, most: int = 300) -> np.ndarray:
-    """Probability at each step that a new regime has just begun (unknown mean and variance)."""
+    """Probability at each step that a new regime has just begun (unknown mean and variance).
+
+    most: the labeler's own bound of run lengths; longer runs than that are dropped from the belief.
+    """
     gamma = np.vectorize(math.lgamma)
     mu, k, a, beta, logp = np.array([mean]), np.ones(1), np.ones(1), np.array([var]), np.zeros(1)
     out = np.empty(len(x))

@@ -366,3 +366,23 @@ def test_a_bundle_scores_what_it_was_fitted_on(spark):
     assert learners.auc(y[450:], np.array([r.p for r in found[450:]])) > 0.7
     odd = rows.limit(2).withColumn("a", F.when(F.col("bar_ix") == 0, F.lit(None)).otherwise(F.lit(float("nan"))))
     assert [r.p for r in again.predict(odd).collect()] == [None, None]
+
+
+def test_bayesian_mixture_lets_needless_components_go():
+    g = np.random.default_rng(0)
+    x = np.concatenate([g.normal(0, 0.3, (300, 2)), g.normal(4, 0.3, (300, 2))])
+    part = label_kernels.bayesian_mixture(x, 5)
+    share = part(x)
+    assert share.argmax(axis=1)[0] != share.argmax(axis=1)[-1] and (np.bincount(share.argmax(axis=1), minlength=5) > 5).sum() <= 3
+    assert label_kernels.digamma(np.array([1.0, 0.5, 10.0])) == pytest.approx([-0.5772156649, -1.9635100260, 2.2517525890])
+
+
+def test_full_covariances_of_a_hidden_chain():
+    """Two states with the same mean and variances but opposite correlation are told apart."""
+    g = np.random.default_rng(1)
+    state = np.repeat(np.arange(12) % 2, 60)
+    z = g.normal(size=(720, 2))
+    x = np.stack([z[:, 0], np.where(state == 0, 0.95, -0.95) * z[:, 0] + 0.3 * z[:, 1]], axis=1)
+    chain = label_kernels.GaussianChain(x, 2, rounds=100, full=True)
+    found = chain.shares(x).argmax(axis=1)
+    assert max((found == state).mean(), (found != state).mean()) > 0.9
