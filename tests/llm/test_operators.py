@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventclock.llm import bpe, embedding_dedup, exact_dedup, language_id, minhash_dedup, packing, quality, token_files, url_filter, word_pieces
+from eventclock.llm import components as module
 from eventclock.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, norm int, rep long, sequence_id string"
@@ -208,8 +209,16 @@ def test_components(spark):
     r = random.Random(3)
     links = [(r.randrange(60), r.randrange(60)) for _ in range(35)] + [(100 + i, 101 + i) for i in range(40)]
     want = _components(range(200), links)
-    found = components(spark.createDataFrame(links, "u long, v long")).collect()
-    assert dict(found) == {n: want[n] for a, b in links for n in (a, b) if a != b}
+    for portion in (500_000, 4):  # all links at once, and rounds that must join what portions found
+        before, module.PORTION = module.PORTION, portion
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        try:
+            found = components(spark.createDataFrame(links, "u long, v long")).collect()
+        finally:
+            module.PORTION = before
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        assert dict(found) == {n: want[n] for a, b in links for n in (a, b) if a != b} and len(found) == len(dict(found))
+    assert components(spark.createDataFrame([(1, 1), (None, 2)], "u long, v long")).count() == 0
 
 
 def test_embedding_dedup(spark):
