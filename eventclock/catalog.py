@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventclock.operators import axes, book, feature_checks, features, joins, label_checks, label_kernels, labels, model_checks, models, performance, sizing, stats
 from eventclock.plans import cell, config
-from eventclock.sources import tables
+from eventclock.sources import store, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,14 +92,6 @@ def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.curves(spark, sf_dir).select("strategy", "t", "ret")
 
 
-def _matrix(spark: SparkSession, sf_dir: str):
-    """Returns by day and strategy; a strategy is a column of the test."""
-    returns = _returns(spark, sf_dir)
-    names = [r.strategy for r in returns.select("strategy").distinct().orderBy("strategy").collect()]
-    grid = joins.common_grid(returns, len(names)).groupBy("t").pivot("strategy", names).agg(F.first("ret")).orderBy("t")
-    return grid.drop("t").toPandas().to_numpy(float)
-
-
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a ledger of trials."""
     o = tables.read(spark, sf_dir, "orders")
@@ -133,11 +125,11 @@ def _statistics() -> tuple[dict[str, Query], dict[str, str]]:
         "stat_kaplan_meier": lambda spark, sf_dir: stats.kaplan_meier(tables.durations(spark, sf_dir)),
         "stat_pair_correlations": lambda spark, sf_dir: stats.pair_correlations(_returns(spark, sf_dir)),
         "stat_affinity": lambda spark, sf_dir: stats.affinity(tables.configs(spark, sf_dir)),
-        "stat_effective_trials": lambda spark, sf_dir: stats.effective_trials(stats.affinity(tables.configs(spark, sf_dir)), tables.configs(spark, sf_dir).count()),
+        "stat_effective_trials": lambda spark, sf_dir: stats.effective_configs(tables.configs(spark, sf_dir)),
         "stat_screen_verdicts": lambda spark, sf_dir: stats.screen_verdicts(tables.screen(spark, sf_dir)).select("id", "edge", "verdict"),
         "stat_bootstrap": lambda spark, sf_dir: stats.bootstrap(_returns(spark, sf_dir)),
-        "stat_spa": lambda spark, sf_dir: spark.createDataFrame([stats.spa(spark, _matrix(spark, sf_dir))], "p_value double, statistic double"),
-        "stat_pbo": lambda spark, sf_dir: spark.createDataFrame([stats.pbo(_matrix(spark, sf_dir))], "pbo double, combinations long"),
+        "stat_spa": lambda spark, sf_dir: stats.spa(_returns(spark, sf_dir)),
+        "stat_pbo": lambda spark, sf_dir: stats.overfit(_returns(spark, sf_dir)),
         "stat_distinct_trials": lambda spark, sf_dir: stats.distinct_trials(_ledger(spark, sf_dir)).groupBy("axis").agg(F.count(F.lit(1)).alias("trials"), F.max("calmar3").alias("best")),
         "stat_champions": lambda spark, sf_dir: stats.champions(_ledger(spark, sf_dir)).select("ticker", "id", "calmar"),
         "stat_total_trials": lambda spark, sf_dir: stats.total_trials(_ledger(spark, sf_dir)),
@@ -392,10 +384,43 @@ def _books() -> tuple[dict[str, Query], dict[str, str]]:
     return found, sql
 
 
+def _sources() -> tuple[dict[str, Query], dict[str, str]]:
+    """Option chains and stored rows: lines as quotes of a day, orders as revisions of a customer's cell."""
+
+    def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+        lines = tables.read(spark, sf_dir, "lineitem")
+        return lines.select(F.col("l_shipdate").alias("day"), (F.col("l_linenumber") * 10).alias("days_left"), (F.col("l_partkey") % 60 + 70.0).alias("strike"), F.col("l_discount").cast("double").alias("iv"), F.lit(100.5).alias("spot"))
+
+    def chunks(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+        days = store.snapshot_iv(chain(spark, sf_dir))
+        return [days.where("day < DATE'1998-01-01'"), days.where("day >= DATE'1997-01-01'").withColumn("iv", F.round(F.col("iv") + 1, 6))]
+
+    def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+        o = tables.read(spark, sf_dir, "orders")
+        return o.select(F.col("o_custkey").alias("cell_key"), F.concat_ws("/", F.col("o_orderdate").cast("date").cast("string"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("timestamp"), F.col("o_orderkey").alias("id"))
+
+    quotes = "(SELECT CAST(l_shipdate AS DATE) AS day, l_shipdate, l_linenumber * 10 AS days_left, l_partkey % 60 + 70.0 AS strike, CAST(l_discount AS DOUBLE) AS iv FROM lineitem)"
+    snapshot = f"SELECT l_shipdate AS day, round(iv, 6) AS iv FROM {quotes} WHERE days_left BETWEEN 20 AND 45 AND iv > 0 QUALIFY row_number() OVER (PARTITION BY l_shipdate ORDER BY abs(strike - 100.5), days_left, strike, iv) = 1"
+    revised = "(SELECT o_custkey AS cell_key, strftime(o_orderdate, '%Y-%m-%d') || '/' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS timestamp, o_orderkey AS id FROM orders)"
+    found: dict[str, Query] = {
+        "source_iv_snapshot": lambda spark, sf_dir: store.snapshot_iv(chain(spark, sf_dir)),
+        "source_iv_merged": lambda spark, sf_dir: store.merged_iv(chunks(spark, sf_dir)),
+        "source_latest": lambda spark, sf_dir: store.latest(revisions(spark, sf_dir), "cell_key").select("cell_key", "id"),
+        "source_stale": lambda spark, sf_dir: store.stale(tables.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell_key")), revisions(spark, sf_dir).where("id % 3 = 0")),
+    }
+    sql = {
+        "source_iv_snapshot": snapshot,
+        "source_iv_merged": f"WITH d AS ({snapshot}) SELECT day, CASE WHEN day >= DATE '1997-01-01' THEN round(iv + 1, 6) ELSE iv END AS iv FROM d",
+        "source_latest": f"SELECT cell_key, id FROM {revised} QUALIFY row_number() OVER (PARTITION BY cell_key ORDER BY timestamp DESC) = 1",
+        "source_stale": f"SELECT c_custkey AS cell_key FROM customer WHERE c_custkey NOT IN (SELECT cell_key FROM {revised} WHERE id % 3 = 0)",
+    }
+    return found, sql
+
+
 def _all() -> tuple[dict[str, Query], dict[str, str]]:
     found: dict[str, Query] = {}
     sql: dict[str, str] = {}
-    for part in (_axes, _features, _labels, _sizing, _performance, _statistics, _joins, _models, _books):
+    for part in (_axes, _features, _labels, _sizing, _performance, _statistics, _joins, _models, _books, _sources):
         q, s = part()
         found |= q
         sql |= s

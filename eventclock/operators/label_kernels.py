@@ -7,6 +7,7 @@ built in blocks of rows, so memory stays bounded for long keys.
 
 from __future__ import annotations
 
+import inspect
 import math
 from collections.abc import Callable, Iterator
 
@@ -99,9 +100,9 @@ def states(bars: Bars, state: np.ndarray, count: int, h: int, every_up: bool = F
 
 
 def barriers(width: float):
-    def tries(b: Bars) -> Iterator[Try]:
+    def tries(b: Bars, hs: tuple[int, ...] = (50, 100, 200)) -> Iterator[Try]:
         sigma = b.sigma()
-        for h in (50, 100, 200):
+        for h in hs:
             y = np.full(b.n, -1)
             if b.n > h:
                 windows = np.lib.stride_tricks.sliding_window_view(b.lc, h + 1)
@@ -128,11 +129,11 @@ def time_to_rise(b: Bars, width: float = 2.0, h: int = 200) -> tuple[np.ndarray,
 
 
 def legs(horizons: tuple[int, ...]):
-    def tries(b: Bars) -> Iterator[Try]:
+    def tries(b: Bars, hs: tuple[int, ...] = horizons) -> Iterator[Try]:
         sigma = float(b.lr[b.train].std()) if b.train.any() else 0.0
         if sigma <= 0:
             return
-        for h in horizons:
+        for h in hs:
             for k in (2.0, 3.5):
 
                 def leg(w: np.ndarray, h: int = h, k: float = k) -> np.ndarray:
@@ -157,8 +158,8 @@ def legs(horizons: tuple[int, ...]):
 def by_statistic(horizons: tuple[int, ...], quantiles: tuple[float, ...], statistic: Callable):
     """statistic: over blocks of (bar, h behind it), gives strength and direction."""
 
-    def tries(b: Bars) -> Iterator[Try]:
-        for h in horizons:
+    def tries(b: Bars, hs: tuple[int, ...] = horizons) -> Iterator[Try]:
+        for h in hs:
             made = b.ahead(h, statistic, shape=2)
             yield from strong(b, made[0], made[1], quantiles)
 
@@ -248,27 +249,41 @@ def persistence(w: np.ndarray) -> np.ndarray:
     return np.stack([(t[:, None] * np.array(size)).sum(axis=0) / (t * t).sum(), _net(w)])
 
 
-def visibility(b: Bars) -> Iterator[Try]:
-    """Imbalance of links to lower and to higher bars in the horizontal visibility graph ahead."""
-    for h in (40, 80, 160):
+def _horizons_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the next higher value and of the last one that is not lower, and whether that is equal."""
+    after, before, same = np.full(len(x), 1 << 40), np.full(len(x), -1), np.zeros(len(x), bool)
+    open_: list[int] = []
+    for i, v in enumerate(x.tolist()):
+        while open_ and x[open_[-1]] < v:
+            after[open_.pop()] = i
+        if open_:
+            before[i], same[i] = open_[-1], x[open_[-1]] == v
+        open_.append(i)
+    return after, before, same
+
+
+def visibility(b: Bars, hs: tuple[int, ...] = (40, 80, 160)) -> Iterator[Try]:
+    """Imbalance of links to lower and to higher bars in the horizontal visibility graph ahead.
+
+    Two bars see each other if the later is the next higher of the earlier, or the earlier the
+    last not lower of the later; so links of a window are counts over the whole series' links.
+    """
+    after, before, same = _horizons_of(b.lc)
+    for h in hs:
         out = np.full(b.n, np.nan)
-        for i in range(b.n - h - 1):
-            rising, falling, seen = 0, 0, []
-            for x in b.lc[i + 1 : i + h + 2].tolist():
-                while seen and seen[-1] < x:
-                    seen.pop()
-                    rising += 1
-                if seen:
-                    falling += seen[-1] > x
-                    rising += seen[-1] == x
-                seen.append(x)
-            out[i] = (rising - falling) / max(1, rising + falling)
+        for a in range(0, max(0, b.n - h - 1), BLOCK):
+            at = np.arange(a, min(a + BLOCK, b.n - h - 1))
+            nxt, last, equal = (np.lib.stride_tricks.sliding_window_view(x[1:], h + 1)[at] for x in (after, before, same))
+            inside = last > at[:, None]
+            rising = (nxt <= at[:, None] + h + 1).sum(axis=1) + (inside & equal).sum(axis=1)
+            falling = (inside & ~equal).sum(axis=1)
+            out[at] = (rising - falling) / np.maximum(1, rising + falling)
         yield from strong(b, np.abs(out), out, (0.4, 0.5, 0.6))
 
 
-def sign_memory(b: Bars) -> Iterator[Try]:
+def sign_memory(b: Bars, hs: tuple[int, ...] = (50, 100, 200)) -> Iterator[Try]:
     """Mean autocorrelation of return signs at lags 1 to 5."""
-    for h in (50, 100, 200):
+    for h in hs:
 
         def memory(s: np.ndarray) -> np.ndarray:
             s, all_lags = s[:, :-1], []
@@ -284,12 +299,12 @@ def sign_memory(b: Bars) -> Iterator[Try]:
         yield from strong(b, b.ahead(h, memory, np.sign(b.lr)), b.forward(h), (0.4, 0.5, 0.6))
 
 
-def information_flow(b: Bars) -> Iterator[Try]:
+def information_flow(b: Bars, hs: tuple[int, ...] = (50, 100, 200)) -> Iterator[Try]:
     """What the symbol before adds about the next beyond the one two back, in bits; symbols are TRAIN thirds of returns ahead.
 
     Sizes of equal counts must tie, so they lie on a grid; so do those of ``sign_memory``.
     """
-    for h in (50, 100, 200):
+    for h in hs:
         if b.n <= h + 1:
             continue
         ahead = np.lib.stride_tricks.sliding_window_view(b.lr, h)[1:]
@@ -310,9 +325,9 @@ def information_flow(b: Bars) -> Iterator[Try]:
         yield from strong(b, flow, b.forward(h), (0.4, 0.5, 0.6))
 
 
-def excursion(b: Bars) -> Iterator[Try]:
+def excursion(b: Bars, hs: tuple[int, ...] = (40, 80)) -> Iterator[Try]:
     """One if the price reaches its target with little root-mean-square drawdown on the way."""
-    for h in (40, 80):
+    for h in hs:
         past = pd.Series(b.lr).rolling(h).std(ddof=0).shift(1).to_numpy()
         ulcer = b.ahead(h, lambda w: np.sqrt(((np.maximum.accumulate(w, axis=1) - w)[:, 1:] ** 2).mean(axis=1)))
         top = b.ahead(h, lambda w: w[:, 1:].max(axis=1))
@@ -325,11 +340,11 @@ def excursion(b: Bars) -> Iterator[Try]:
                 yield (np.where(ok, (reach & (ulcer <= np.quantile(ulcer[reach & b.train], q))).astype(int), -1),)
 
 
-def best_action(b: Bars, cost: float = 0.0005) -> Iterator[Try]:
+def best_action(b: Bars, hs: tuple[int, ...] = (50, 100, 200), cost: float = 0.0005) -> Iterator[Try]:
     """One if the best path of short, flat and long positions with costs starts long."""
     position = np.array([-1.0, 0.0, 1.0])
     change = cost * np.abs(position[:, None] - position)
-    for h in (50, 100, 200):
+    for h in hs:
         if b.n <= h:
             continue
         moves = np.diff(np.lib.stride_tricks.sliding_window_view(b.lc, h + 1), axis=1)
@@ -443,8 +458,8 @@ def _moves(b: Bars, h: int, calm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x - x[train].mean(axis=0)) / (x[train].std(axis=0) + 1e-9), train
 
 
-def two_stage(b: Bars) -> Iterator[Try]:
-    for h in (50, 100, 200):
+def two_stage(b: Bars, hs: tuple[int, ...] = (50, 100, 200)) -> Iterator[Try]:
+    for h in hs:
         calm = _calm(b, h)
         x, train = _moves(b, h, calm)
         for k in (2, 3) if len(x) else ():
@@ -529,8 +544,8 @@ def bayesian_mixture(x: np.ndarray, k: int, concentration: float = 0.1, rounds:
     return part
 
 
-def calm_mixture(b: Bars) -> Iterator[Try]:
-    for h in (50, 100, 200):
+def calm_mixture(b: Bars, hs: tuple[int, ...] = (50, 100, 200)) -> Iterator[Try]:
+    for h in hs:
         calm = _calm(b, h)
         x, train = _moves(b, h, calm)
         for k in (3, 4, 5) if train.sum() >= 100 else ():
@@ -592,8 +607,8 @@ def ward(x: np.ndarray, counts: tuple[int, ...]) -> dict[int, np.ndarray]:
     return found
 
 
-def merged(b: Bars) -> Iterator[Try]:
-    for h in (50, 100, 200):
+def merged(b: Bars, hs: tuple[int, ...] = (50, 100, 200)) -> Iterator[Try]:
+    for h in hs:
         calm = _calm(b, h)
         x = np.stack([b.forward(h), np.abs(b.forward(h))], axis=1)[calm]
         train = b.train[calm]
@@ -621,9 +636,9 @@ def penalised_path(cost: np.ndarray, jump: float) -> np.ndarray:
     return out
 
 
-def jumps(b: Bars) -> Iterator[Try]:
+def jumps(b: Bars, hs: tuple[int, ...] = (50, 100)) -> Iterator[Try]:
     """States of a k-means with a price on changes, decoded apart before and from TEST."""
-    for h in (50, 100):
+    for h in hs:
         x = np.stack([b.forward(h), b.spread(h)], axis=1)
         ok = np.isfinite(x).all(axis=1)
         train, at = b.train[ok], np.flatnonzero(ok)
@@ -699,26 +714,26 @@ class GaussianChain:
         return share, moved
 
 
-def hidden_states(b: Bars) -> Iterator[Try]:
+def hidden_states(b: Bars, hs: tuple[int, ...] = (50, 100, 200)) -> Iterator[Try]:
     x = np.stack([b.lr, np.abs(b.lr)], axis=1)
     if b.train.sum() < 200:
         return
     state = GaussianChain(x[b.train], 3, rounds=100, full=True).filtered(x)[0].argmax(axis=1)
-    for h in (50, 100, 200):
+    for h in hs:
         yield (states(b, state, 3, h),)
 
 
-def sticky_states(b: Bars) -> Iterator[Try]:
+def sticky_states(b: Bars, hs: tuple[int, ...] = (50, 100, 200)) -> Iterator[Try]:
     x, cut = np.stack([b.lr, np.abs(b.lr)], axis=1), b.first_test()
     if b.train.sum() < 300:
         return
     chain = GaussianChain(x[b.train], 3, 0.95)
     state = np.concatenate([chain.shares(p).argmax(axis=1) for p in (x[:cut], x[cut:]) if len(p)])
-    for h in (50, 100, 200):
+    for h in hs:
         yield (states(b, state, 3, h),)
 
 
-def causal_mixture(b: Bars) -> Iterator[Try]:
+def causal_mixture(b: Bars, hs: tuple[int, ...] = (50, 100, 200)) -> Iterator[Try]:
     """Mixture regimes of six causal features."""
     lc, lr = pd.Series(b.lc), pd.Series(b.lr)
     mom = lc.diff(20)
@@ -730,11 +745,11 @@ def causal_mixture(b: Bars) -> Iterator[Try]:
     for k in (2, 3, 4):
         state = np.full(b.n, -1)
         state[ok] = gaussian_mixture(z[ok & b.train], k)(z[ok]).argmax(axis=1)
-        for h in (50, 100, 200):
+        for h in hs:
             yield (states(b, state, k, h, True, 20),)
 
 
-def segments(b: Bars) -> Iterator[Try]:
+def segments(b: Bars, hs: tuple[int, ...] = (50, 100, 200)) -> Iterator[Try]:
     """Sign of a slow average that restarts at change points; judged by VAL hits less a price for segments."""
     if b.train.sum() < 200 or b.lr[b.train].std() <= 0:
         return
@@ -763,7 +778,7 @@ def segments(b: Bars) -> Iterator[Try]:
         for i, r in enumerate(b.lr.tolist()):
             mean = r if first[i] else 0.05 * r + 0.95 * mean
             sign[i] = mean > 0
-        for h in (50, 100, 200):
+        for h in hs:
             ahead = b.forward(h)
             y = np.where(np.isfinite(ahead), sign, -1)
             seen = (y >= 0) & b.val
@@ -826,18 +841,18 @@ def run_lengths(x: np.ndarray, mean: float, var: float, hazard: float, most: int
     return out
 
 
-def break_ahead(b: Bars) -> Iterator[Try]:
+def break_ahead(b: Bars, hs: tuple[int, ...] = (50, 100, 200)) -> Iterator[Try]:
     if b.train.sum() < 300 or b.lr[b.train].std() <= 0:
         return
     for wanted in (10, 20, 40):
         p = run_lengths(b.lr, float(b.lr[b.train].mean()), float(b.lr[b.train].var()), wanted / b.train.sum())
-        for h in (50, 100, 200):
+        for h in hs:
             top = b.ahead(h, lambda w: w[:, 1:].max(axis=1), p)
             for q in (0.5, 0.6, 0.7):
                 yield (np.where(np.isfinite(top), (top >= np.quantile(p[b.train], q)).astype(int), -1),)
 
 
-def threshold_model(b: Bars) -> Iterator[Try]:
+def threshold_model(b: Bars, hs: tuple[int, ...] = (50, 100, 200)) -> Iterator[Try]:
     """Sign of a two-regime autoregressive forecast; judged by VAL hits less a price for lags."""
     if b.train.sum() < 200:
         return
@@ -857,16 +872,16 @@ def threshold_model(b: Bars) -> Iterator[Try]:
             if best is None:
                 continue
             y = np.where(warm, (np.where(z <= best[1], x @ best[2][0], x @ best[2][1]) > 0).astype(int), -1)
-            for h in (50, 100, 200):
+            for h in hs:
                 ahead = b.forward(h)
                 seen = b.val & np.isfinite(ahead) & (y >= 0)
                 if seen.sum() >= 20:
                     yield y, (y[seen] == (ahead[seen] > 0)).mean() - 0.02 * p
 
 
-def return_shapes(b: Bars) -> Iterator[Try]:
+def return_shapes(b: Bars, hs: tuple[int, ...] = (60, 120)) -> Iterator[Try]:
     """Regimes of sorted returns ahead, by k-medians under the mean absolute difference."""
-    for h in (60, 120):
+    for h in hs:
         if b.n <= h + 2:
             continue
         x = np.sort(np.lib.stride_tricks.sliding_window_view(b.lr, h)[1:-1], axis=1)
@@ -916,13 +931,13 @@ def law_mixture(z: np.ndarray, y: np.ndarray, k: int, rounds: int = 12):
     return assign, share
 
 
-def laws(b: Bars) -> Iterator[Try]:
+def laws(b: Bars, hs: tuple[int, ...] = (60, 120)) -> Iterator[Try]:
     """Sign of the law a bar follows, where its gate agrees."""
     past = pd.Series(b.lr)
     for back in (30, 60):
         size = past.abs().rolling(back).sum().shift(1)
         x = np.stack([past.rolling(back).mean().shift(1), past.rolling(back).std(ddof=0).shift(1), (pd.Series(b.lc).shift(1) - pd.Series(b.lc).shift(back)).abs() / size], axis=1)
-        for h in (60, 120):
+        for h in hs:
             ahead = b.forward(h)
             ok = np.isfinite(x).all(axis=1) & np.isfinite(ahead)
             train = ok & b.train
@@ -981,16 +996,24 @@ KERNELS: dict[str, tuple[Callable[[Bars], Iterator[Try]], dict, int]] = {
 }
 
 
-def build(bars: DataFrame, name: str) -> DataFrame:
-    """key, bar_ix, y of the named labeler."""
+def sweeps(name: str) -> bool:
+    """Whether the labeler looks ahead over horizons that can be given."""
+    return "hs" in inspect.signature(KERNELS[name][0]).parameters
+
+
+def build(bars: DataFrame, name: str, horizons: tuple[int, ...] | None = None) -> DataFrame:
+    """key, bar_ix, y of the named labeler; horizons: bars ahead instead of its own."""
     tries, gates, _ = KERNELS[name]
+    if horizons is not None and not sweeps(name):
+        raise ValueError(f"labeler {name!r} has no horizons")
+    own = {} if horizons is None else {"hs": tuple(horizons)}
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("bar_ix")
         b = Bars(part)
         out = part[["key", "bar_ix"]].copy()
         with np.errstate(all="ignore"):
-            out["y"] = choose(b, tries(b), **gates).astype("int32")
+            out["y"] = choose(b, tries(b, **own), **gates).astype("int32")
         return out
 
     return bars.select("key", "bar_ix", "lc", "lr", "split").groupBy("key").applyInPandas(run, "key string, bar_ix long, y int")

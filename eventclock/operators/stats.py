@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventclock.functions.dialect import phi, phi_inv, steps, steps_sql
@@ -147,6 +147,20 @@ def affinity_check(source: str) -> str:
     return f"SELECT x.id AS a, y.id AS b, round(CAST({same('axis', 0.5)} + {same('labeler', 0.3)} + {same('sizing', 0.2)} AS DOUBLE), 6) AS r FROM {source} x JOIN {source} y ON x.id < y.id"
 
 
+def effective_configs(configs: DataFrame) -> DataFrame:
+    """``effective_trials`` of the affinity of configurations, from counts of equal fields: no pair is made.
+
+    The squared affinity of a pair is a sum over two fields at a time of what both share.
+    """
+    weights = {"axis": 0.5, "labeler": 0.3, "sizing": 0.2}
+    both = [(f, g) for f in weights for g in weights if f <= g]
+    parts = F.array(*[F.struct(F.lit(weights[f] * weights[g] * (1 if f == g else 2)).alias("w"), F.lit(k).alias("k"), F.col(f).cast("string").alias("f"), F.col(g).cast("string").alias("g")) for k, (f, g) in enumerate(both)])
+    shared = configs.select(F.explode(parts).alias("p")).where("p.f IS NOT NULL AND p.g IS NOT NULL").groupBy("p.k", "p.w", "p.f", "p.g").count()
+    total = shared.agg(F.coalesce(F.sum(F.col("w") * F.col("count") * (F.col("count") - 1) / 2), F.lit(0.0)).alias("s"))
+    n = configs.agg(F.count(F.lit(1)).cast("double").alias("n"))  # a row each
+    return n.join(total).select(F.round(F.least("n", F.greatest(F.lit(1.0), F.col("n") * F.col("n") / (F.col("n") + 2 * F.col("s")))), 6).alias("n_eff"))
+
+
 def effective_trials(pairs: DataFrame, n: int) -> DataFrame:
     """Participation ratio of a correlation matrix given its pairs above the diagonal."""
     return pairs.agg(F.round(F.least(F.lit(float(n)), F.greatest(F.lit(1.0), F.lit(float(n * n)) / (n + 2 * F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0.0))))), 6).alias("n_eff"))
@@ -186,17 +200,6 @@ def surrogate(x: np.ndarray, random: np.random.Generator, rounds: int = 50) -> n
     return y
 
 
-def replicates(spark: SparkSession, count: int, draw, seed: int = 42, blocks: int = 16) -> DataFrame:
-    """replicate, value: draw(generator) for each replicate; a replicate's seed is its number."""
-
-    def run(batches):
-        for part in batches:
-            ids = part["id"].tolist()
-            yield pd.DataFrame({"replicate": ids, "value": [float(draw(np.random.default_rng([seed, i]))) for i in ids]})
-
-    return spark.range(0, count, 1, min(count, blocks)).mapInPandas(run, "replicate long, value double")
-
-
 def of_each(returns: DataFrame, count: int, draw, seed: int = 42, blocks: int = 16) -> DataFrame:
     """strategy, real, replicate, value of every strategy: draw(returns in order) gives the real value and a function of a generator.
 
@@ -225,19 +228,48 @@ def bootstrap(returns: DataFrame, count: int = 2000, block: float = 20, statisti
     return of_each(returns, count, draw).drop("real")
 
 
-def spa(spark: SparkSession, matrix: np.ndarray, count: int = 2000, block: float = 20) -> tuple[float, float]:
-    """P-value and statistic of the test for superior ability over columns of relative returns."""
-    n = len(matrix)
-    mean, spread = matrix.mean(axis=0), np.maximum(matrix.std(axis=0), 1e-12)
-    top = max(0.0, float((math.sqrt(n) * mean / spread).max()))
-    keep = mean >= -np.sqrt(spread**2 / n * 2 * math.log(math.log(max(3, n))))
+def matrix_of(returns: DataFrame) -> DataFrame:
+    """names, m: one row with the returns of each day and strategy, over days that all strategies have."""
+    from eventclock.operators.joins import common_grid
+
+    names = sorted(r.strategy for r in returns.select("strategy").distinct().collect())  # columns of the test
+    rows = common_grid(returns, len(names)).groupBy("t").agg(F.sort_array(F.collect_list(F.struct("strategy", "ret"))).getField("ret").alias("row"))
+    return rows.agg(F.sort_array(F.collect_list(F.struct("t", "row"))).getField("row").alias("m"))
 
-    def draw(g: np.random.Generator) -> float:
-        z = math.sqrt(n) * (matrix[stationary_index(n, block, g)].mean(axis=0) - mean) / spread
-        return max(0.0, float(np.where(keep, z, np.minimum(z, 0)).max()))
 
-    found = replicates(spark, count, draw, 43)
-    return float(found.agg(F.avg((F.col("value") >= top).cast("double"))).first()[0]), top
+def spa(returns: DataFrame, count: int = 2000, block: float = 20, seed: int = 43, blocks: int = 16) -> DataFrame:
+    """p_value, statistic of the test for superior ability over strategies' relative returns; input strategy, t, ret."""
+    spark = returns.sparkSession
+    tasks = matrix_of(returns).crossJoin(spark.range(blocks).withColumnRenamed("id", "block")).repartition(blocks)
+
+    def run(batches):
+        for part in batches:
+            for m, number in zip(part["m"], part["block"], strict=True):
+                matrix = np.array([np.asarray(r, float) for r in m])
+                n = len(matrix)
+                mean, spread = matrix.mean(axis=0), np.maximum(matrix.std(axis=0), 1e-12)
+                top = max(0.0, float((math.sqrt(n) * mean / spread).max()))
+                keep = mean >= -np.sqrt(spread**2 / n * 2 * math.log(math.log(max(3, n))))
+                values = []
+                for i in range(number, count, blocks):
+                    z = math.sqrt(n) * (matrix[stationary_index(n, block, np.random.default_rng([seed, i]))].mean(axis=0) - mean) / spread
+                    values.append(max(0.0, float(np.where(keep, z, np.minimum(z, 0)).max())))
+                yield pd.DataFrame({"statistic": top, "value": values})
+
+    found = tasks.mapInPandas(run, "statistic double, value double")
+    return found.agg(F.avg((F.col("value") >= F.col("statistic")).cast("double")).alias("p_value"), F.max("statistic").alias("statistic"))
+
+
+def overfit(returns: DataFrame, splits: int = 16, most: int = 1_000) -> DataFrame:
+    """pbo, combinations; input strategy, t, ret."""
+
+    def run(batches):
+        for part in batches:
+            for m in part["m"]:
+                share, count = pbo(np.array([np.asarray(r, float) for r in m]).reshape(len(m), -1), splits, most)
+                yield pd.DataFrame({"pbo": [share], "combinations": [count]})
+
+    return matrix_of(returns).mapInPandas(run, "pbo double, combinations long")
 
 
 def pbo(matrix: np.ndarray, splits: int = 16, most: int = 1_000) -> tuple[float, int]:

@@ -21,13 +21,15 @@ def bars_of(clock: DataFrame, cuts: tuple[str, str]) -> DataFrame:
     return steps(clock.withColumnRenamed("log_close", "lc").withColumn("seq", F.col("bar_ix")), {"lr": f"coalesce(lc - lag(lc) OVER {order}, 0.0)", "split": split_text(cuts).replace("TIMESTAMP", "TIMESTAMP_NTZ")})
 
 
-def labelled(bars: DataFrame, labeler: str) -> DataFrame:
+def labelled(bars: DataFrame, labeler: str, horizons: tuple[int, ...] | None = None) -> DataFrame:
     module = labels if labeler in labels.LABELERS else label_kernels
-    return module.build(bars, labeler)
+    return module.build(bars, labeler, horizons)
 
 
-def reach_of(labeler: str) -> int:
-    return labels.LABELERS[labeler].reach if labeler in labels.LABELERS else label_kernels.KERNELS[labeler][2]
+def reach_of(labeler: str, horizons: tuple[int, ...] | None = None) -> int:
+    if labeler in labels.LABELERS:
+        return labels.labeler_of(labeler, horizons).reach
+    return label_kernels.KERNELS[labeler][2] if horizons is None else max(horizons) + 1
 
 
 def blocks_of(bars: DataFrame, kind: str) -> tuple[list[str], list[str]]:
@@ -66,14 +68,12 @@ def featured(bars: DataFrame, kind: str, held: list[DataFrame] | None = None) ->
 def predictions(bars: DataFrame, config: CellConfig, held: list[DataFrame] | None = None) -> DataFrame:
     """key, bar_ix, lc, lr, split, y, p; members of an ensemble are averaged; ``held`` gets what is cached for it."""
     held = [] if held is None else held
-    if config.horizons is not None:
-        raise ValueError("labelers keep their own horizons: a cell with others can't be fitted yet")
     members = []
     x, names = featured(bars, config.features, held)
     for labeler in config.labeler.split("+"):
-        y = labelled(bars, labeler)
+        y = labelled(bars, labeler, config.horizons)
         rows = models.assembled(x.join(y, ["key", "bar_ix"]).join(bars.select("key", "bar_ix", "ts", "seq", "split", "lc", "lr"), ["key", "bar_ix"]), names)
-        rows = models.masks(rows.select("key", "bar_ix", "ts", "seq", "split", "lc", "lr", "y", "x"), models.embargo((50, 100, 200), reach_of(labeler)), config.train_purge).persist()
+        rows = models.masks(rows.select("key", "bar_ix", "ts", "seq", "split", "lc", "lr", "y", "x"), models.embargo(config.horizons or (50, 100, 200), reach_of(labeler, config.horizons)), config.train_purge).persist()
         held.append(rows)
         if config.permute_labels:
             dealt = models.permuted(rows).select("key", "bar_ix", F.col("y").alias("__y"))

@@ -53,7 +53,7 @@ def stale(stored: DataFrame, wanted: DataFrame, column: str = "cell_key") -> Dat
 def snapshot_iv(chain: DataFrame, spot: str = "spot") -> DataFrame:
     """At-the-money implied volatility of each day: expiry in 20 to 45 days, nearest strike; day, days_left, strike, iv."""
     ok = chain.where(F.col("days_left").between(20, 45) & (F.col("iv") > 0))
-    w = W.partitionBy("day").orderBy(F.abs(F.col("strike") - F.col(spot)), "days_left", "strike")
+    w = W.partitionBy("day").orderBy(F.abs(F.col("strike") - F.col(spot)), "days_left", "strike", "iv")
     return ok.withColumn("__k", F.row_number().over(w)).where("__k = 1").select("day", F.round("iv", 6).alias("iv"))
 
 

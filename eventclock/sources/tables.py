@@ -144,8 +144,9 @@ def driven_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     from eventclock.operators.joins import asof
 
     days = read(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").alias("ts")).agg(F.log(F.round(F.avg("o_totalprice"), 6)).alias("drv"), F.log(F.count(F.lit(1)).cast("double")).alias("slp"))
-    keys = F.explode(F.array(*[F.lit(k) for k in ("A", "N", "R")])).alias("key")
     joined = bars(spark, sf_dir)
+    names = sorted(r.key for r in joined.select("key").distinct().collect())  # series, each with the same outside values
+    keys = F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("key")
     for value in ("drv", "slp"):
         joined = asof(joined, days.select(keys, "ts", value), value, lag="1 DAY")
     return joined

@@ -88,7 +88,12 @@ def test_superior_ability(spark):
     noise = g.normal(0, 0.01, (300, 20))
     real = noise.copy()
     real[:, 7] += 0.004
-    assert stats.spa(spark, noise, 200, 15)[0] > 0.1 > 0.05 > stats.spa(spark, real, 200, 15)[0]
+
+    def p_value(x):
+        rows = [(f"s{j:02}", t, float(x[t, j])) for t in range(len(x)) for j in range(x.shape[1])]
+        return stats.spa(spark.createDataFrame(rows, "strategy string, t long, ret double"), 200, 15).first().p_value
+
+    assert p_value(noise) > 0.1 > 0.05 > p_value(real)
 
 
 def test_keys_differ():
@@ -350,9 +355,16 @@ def test_clocks_read_a_batch_at_a_time(spark):
         spark.conf.set(key, before)
 
 
-def test_cells_say_what_they_cannot_fit(spark):
-    with pytest.raises(ValueError, match="horizons"):
-        cell.predictions(tables.bars(spark, DATA), config.CellConfig("ALL", "tick", "ker_fast", 0.5, "cdf_plain", horizons=(5, 10)))
+def test_horizons_of_a_cell(spark):
+    bars = tables.bars(spark, DATA)
+    same = cell.labelled(bars, "ker", (20, 40, 80)).exceptAll(cell.labelled(bars, "ker"))
+    assert same.count() == 0 and cell.reach_of("ker", (5, 10)) == 10 and cell.reach_of("triple_barrier", (5, 10)) == 11
+    short = cell.labelled(bars, "triple_barrier", (5,)).groupBy("key").agg(F.max("bar_ix").alias("last"), F.max(F.when(F.col("y") >= 0, F.col("bar_ix"))).alias("labelled")).collect()
+    assert any(r.labelled == r.last - 5 for r in short)  # a bar with five behind it has a label
+    for name in ("always_long", "dc_trend"):
+        with pytest.raises(ValueError, match="no horizons"):
+            cell.labelled(bars, name, (5, 10))
+    assert sum(map(label_kernels.sweeps, label_kernels.KERNELS)) >= 30
     assert [config.default_threshold(t) for t in ("XLE", "QQQ", "HYG", "TLT", "GLD", "SPY")] == [0.1, 0.15, 0.55, 0.55, 0.35, 0.45]
 
 
