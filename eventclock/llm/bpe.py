@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventclock.llm.common import bounded_batches, map_rows, text_column
-from eventclock.llm.pieces import PieceTable, chunks
+from eventclock.llm.pieces import PieceTable, chunks, flat
 
 _NEVER = 1 << 60
 
@@ -171,9 +171,9 @@ class Transducer:
         out += self.rest[state]
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         encode = self.encode
-        return [encode(p.encode("utf-8", "surrogatepass")) for p in pieces]
+        return flat([encode(p.encode("utf-8", "surrogatepass")) for p in pieces])
 
 
 def _utf8_machine() -> tuple[list[list[int]], int, int]:

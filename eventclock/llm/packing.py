@@ -53,7 +53,7 @@ def word_ids(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     parts = [ids[a:b] for a, b in zip(ends - counts, ends, strict=True)]
     for i, p in enumerate(plain):
         if not p:
-            parts[i] = np.array(table.encode([texts[i]])[0], np.uint32)
+            parts[i] = table.encode([texts[i]])[0]
     return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
 
 

@@ -6,11 +6,12 @@ need be tokenised once.  ``split`` finds the pieces of many texts with numpy
 operations over code points; ``PieceTable`` maps each distinct piece to its ids.
 
 Memory: one chunk of ``CHUNK_CHARS`` characters (or one longer text) and a memo
-that is emptied when it reaches its bounds.
+of bounded size.
 """
 
 from __future__ import annotations
 
+import itertools
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
@@ -155,40 +156,63 @@ def split(texts: list[str], keep_space: bool = True) -> Pieces:
     return Pieces(joined, points, starts, ends, np.searchsorted(stops, starts))
 
 
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of lists, and the size of each."""
+    sizes = np.fromiter(map(len, lists), np.int32, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
+
+
 class PieceTable:
     """Ids of texts by a memo of the ids of their pieces.
 
-    encode: takes distinct pieces, returns a list of ids for each.
+    encode: takes distinct pieces, returns all their ids and how many each has.  When the memo
+    reaches a bound, what was met in one chunk only is forgotten, at least half of it.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], keep_space: bool = True, most_pieces: int = 600_000, most_ids: int = 4_000_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], keep_space: bool = True, most_pieces: int = 400_000, most_ids: int = 3_000_000):
         self.encode, self.keep_space, self.most_pieces, self.most_ids = encode, keep_space, most_pieces, most_ids
-        self._clear()
-
-    def _clear(self) -> None:
         self.rows: dict[str, int] = {}
         self.flat, self.begin, self.size = array("I"), array("q"), array("i")
+        self.uses = np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        """Keeps the pieces that most chunks had: at most half of the bounds."""
+        n = len(self.rows)
+        size, begin, flat = np.frombuffer(self.size, np.int32).astype(np.int64), np.frombuffer(self.begin, np.int64), np.frombuffer(self.flat, np.uint32)
+        order = np.argsort(-self.uses[:n], kind="stable")
+        order = order[: min(self.most_pieces // 2, int((self.uses[:n] > 1).sum()))]
+        kept = np.sort(order[: int(np.searchsorted(np.cumsum(size[order]), self.most_ids // 2))])
+        sizes, names = size[kept], list(self.rows)
+        starts = np.cumsum(sizes) - sizes
+        ids = flat[np.repeat(begin[kept] - starts, sizes) + np.arange(int(sizes.sum()))]
+        self.rows = {names[i]: k for k, i in enumerate(kept.tolist())}
+        self.uses[: len(kept)], self.uses[len(kept) :] = 1, 0
+        self.flat, self.begin, self.size = array("I", ids.tobytes()), array("q", starts.tobytes()), array("i", sizes.astype(np.int32).tobytes())
+
+    def _learn(self, new: list[str]) -> None:
+        ids, sizes = self.encode(new)
+        self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+        self.begin.frombytes((len(self.flat) + np.cumsum(sizes, dtype=np.int64) - sizes).tobytes())
+        self.size.frombytes(sizes.astype(np.int32).tobytes())
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+        if len(self.uses) < len(self.rows):
+            self.uses = np.append(self.uses, np.zeros(len(self.rows), np.int32))
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the count for each text."""
         if len(self.rows) > self.most_pieces or len(self.flat) > self.most_ids:
-            self._clear()
+            self._forget()
         p = split(texts, self.keep_space)
         if not len(p.starts):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         codes, pieces = p.distinct()
-        row, new = self.rows.get, []
-        at = [row(x, -1) for x in pieces]
-        for i, r in enumerate(at):
-            if r < 0:
-                at[i] = len(self.rows)
-                self.rows[pieces[i]] = at[i]
-                new.append(pieces[i])
-        for ids in self.encode(new) if new else ():
-            self.begin.append(len(self.flat))
-            self.size.append(len(ids))
-            self.flat.extend(ids)
-        rows = np.array(at, np.int64)[codes]
+        at = np.fromiter(map(self.rows.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            at[missing] = len(self.rows) + np.arange(len(missing))
+            self._learn([pieces[i] for i in missing.tolist()])
+        self.uses[at] += 1
+        rows = at[codes]
         sizes = np.frombuffer(self.size, np.int32)[rows].astype(np.int64)
         before = np.cumsum(sizes) - sizes
         where = np.repeat(np.frombuffer(self.begin, np.int64)[rows] - before, sizes) + np.arange(int(sizes.sum()))

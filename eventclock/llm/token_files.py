@@ -81,8 +81,9 @@ def piece_table(path: str, keep_space: bool) -> PieceTable:
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
 
-    def encode(pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)  # each piece stays apart
+        return np.array(found.ids, np.uint32), np.bincount(np.array(found.word_ids, np.int64), minlength=len(pieces))
 
     return PieceTable(encode, keep_space)
 

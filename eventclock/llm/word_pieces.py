@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventclock.llm.common import bounded_batches, map_rows, text_column
-from eventclock.llm.pieces import PieceTable, chunks
+from eventclock.llm.pieces import PieceTable, chunks, flat
 
 _LAST = 256
 
@@ -108,7 +108,7 @@ class LongestMatch:
 @functools.lru_cache(2)
 def word_counts(path: str) -> PieceTable:
     machine = LongestMatch(read_vocabulary(path))
-    return PieceTable(lambda words: [[machine.count(w.encode("utf-8", "surrogatepass"))] for w in words], keep_space=False)
+    return PieceTable(lambda words: flat([[machine.count(w.encode("utf-8", "surrogatepass"))] for w in words]), keep_space=False)
 
 
 def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
