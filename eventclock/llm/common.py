@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import shutil
 import tempfile
@@ -80,16 +81,35 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes a table in the application's folder and reads it back: cuts lineage, survives lost executors.
 
     The files stay as long as the application, so anything derived from the table can be
-    read at any time.  An operator's inner tables go earlier, by ``discard``.
+    read at any time.  An operator's inner tables go earlier, by ``discard``, and those of a
+    block of steps by ``scratch``.
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_at = path
+    for scope in _scopes:
+        scope.append(back)
     return back
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes what is written inside, at its end, but for the tables that are put into the list it gives."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield kept
+    finally:
+        _scopes.remove(made)
+        discard(*(t for t in made if not any(t is k for k in kept)))
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing an operator returns reads."""
     for t in tables:

@@ -274,6 +274,12 @@ def test_written_tables_stay_until_released(spark):
     with pytest.raises(Exception, match="not exist|does not|FILE_NOT_EXIST"):
         inner.select("id").collect()
     assert re.search("written-", common.run_dir(spark))
+    with common.scratch() as kept:
+        kept.append(common.written(spark.range(2), "kept"))
+        gone = common.written(spark.range(2), "gone")
+    assert kept[0].count() == 2
+    with pytest.raises(Exception, match="not exist|does not|FILE_NOT_EXIST"):
+        gone.select("id").collect()
 
 
 def test_no_local_folder_on_a_cluster():
@@ -312,3 +318,19 @@ def test_pipeline_of_edge_rows(docs, spark):
             out = common.written(after.toDF(*[f"c{i}" for i in range(len(after.columns))]), "stage").toDF(*after.columns)
         packed = p.STAGES[-1][1](spark, out, sf)
         assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in out.collect()}
+
+
+def test_a_full_memo_forgets_what_is_rare():
+    encoded = []
+
+    def encode(new):
+        encoded.extend(new)
+        return pieces.flat([[ord(c) for c in p] for p in new])
+
+    table = pieces.PieceTable(encode, most_pieces=40, most_ids=10_000)
+    for k in range(60):
+        texts = [f"often met words {'x' * (k + 1)} y{k}", "", "often"]
+        ids, counts = table.ids(texts)
+        assert "".join(map(chr, ids.tolist())) == "".join(texts) and counts.tolist() == [len(t) for t in texts]
+        assert len(table.rows) <= 40 + 5
+    assert encoded.count("often") == 1 and encoded.count(" words") == 1
