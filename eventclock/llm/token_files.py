@@ -35,19 +35,20 @@ from pyspark.sql import functions as F
 from eventclock.llm.common import bounded_batches, map_rows, text_column, written
 from eventclock.llm.pieces import PieceTable, chunks
 
-#: Ids of a block, about; and bytes of input that a shard is planned for.
-BLOCK_IDS, SHARD_BYTES = 1 << 18, 64 << 20
+#: Ids of a block, about; bytes of input that a shard is planned for; characters encoded at once.
+BLOCK_IDS, SHARD_BYTES, CHARS = 1 << 18, 64 << 20, 800_000
 
 _sizes = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """ranked, control, data of a block."""
-    distinct, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((distinct, -counts))
-    rank = np.empty(len(order), np.uint32)
-    rank[order] = np.arange(len(order), dtype=np.uint32)
-    values = rank[inverse]
+    counts = np.bincount(ids)  # ids are those of a vocabulary, so a table of them is small
+    distinct = np.flatnonzero(counts)
+    order = np.lexsort((distinct, -counts[distinct]))
+    rank = np.zeros(len(counts), np.uint32)
+    rank[distinct[order]] = np.arange(len(order), dtype=np.uint32)
+    values = rank[ids]
     size = 1 + (values >= 1 << 8) + (values >= 1 << 16) + (values >= 1 << 24)
     codes = np.zeros(-(-len(ids) // 4) * 4, np.uint8)
     codes[: len(ids)] = size - 1
@@ -105,7 +106,7 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int = 0, shards: int |
     def kernel(rows: Iterator[tuple]) -> Iterator[tuple]:
         table, shard, block = piece_table(tokenizer, True), TaskContext.get().partitionId(), 0
         held, docs, sizes, n = [], [], [], 0
-        for group in chunks(rows, 1):
+        for group in chunks(rows, 1, CHARS):
             ids, counts = table.ids([t for _, t in group])
             ends = np.cumsum(counts)
             held.append(np.insert(ids, ends, np.uint32(end_id)))
