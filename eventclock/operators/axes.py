@@ -392,9 +392,6 @@ def fitted(axis: Axis, values: list, per_bar: float):
     return axis.clock(found) if axis.clock else found
 
 
-_HITS = pa.schema([("key", pa.string()), ("ts", pa.timestamp("us")), ("seq", pa.int64()), ("lc", pa.float64())])
-
-
 def _folded(rows: DataFrame, name: str, axis: Axis, per_bar: int) -> DataFrame:
     """Ticks at which a bar ends.
 
@@ -411,38 +408,44 @@ def _folded(rows: DataFrame, name: str, axis: Axis, per_bar: int) -> DataFrame:
     else:
         sent = sent.withColumn("__t", F.lit(None).cast("double"))
 
-    def ticks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+    def ended(clock, part: pa.RecordBatch, values: list) -> Iterator[pa.RecordBatch]:
+        hits = [i for i, x in enumerate(values) if clock.step(x)]
+        if hits:
+            yield part.take(pa.array(hits, pa.int64())).select(["key", "ts", "seq", "lc"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, ticks in itertools.groupby(ticks_of(batches), key=lambda t: t[0]):
-            hits, clock = [], None
-            if axis.fit is None:
-                first = next(ticks)
-                clock, ticks = axis.clock(first[6]), itertools.chain([first], ticks)
-            else:
-                train, ticks = [], iter(ticks)
-                for tick in ticks:
-                    if not tick[4]:
-                        ticks = itertools.chain([tick], ticks)
-                        break
-                    train.append(tick)
-                if not train:
+        key, clock, train = None, None, []  # train: a key's TRAIN ticks before its clock is fitted
+
+        def fit_train():
+            found = fitted(axis, [x for _, values in train for x in values], per_bar)
+            for part, values in train:
+                yield from ended(found, part, values)
+            return found
+
+        for batch in batches:
+            keys, is_train, values = (batch.column(i).to_pylist() for i in (0, 4, 5))
+            begins = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, b in itertools.pairwise(begins):
+                if a == b:
                     continue
-                clock, ticks = fitted(axis, [t[5] for t in train], per_bar), itertools.chain(train, ticks)
-            step = clock.step
-            for tick in ticks:
-                if step(tick[5]):
-                    hits.append(tick[:4])
-                    if len(hits) >= 10_000:
-                        yield _batch(hits)
-                        hits = []
-            if hits:
-                yield _batch(hits)
-
-    def _batch(hits: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*hits, strict=True), _HITS, strict=True)], schema=_HITS)
+                if keys[a] != key:
+                    if train:
+                        yield from fit_train()
+                    key, clock, train = keys[a], None, []
+                    if axis.fit is None:
+                        clock = axis.clock(batch.column(6)[a].as_py())
+                part, own = batch.slice(a, b - a), values[a:b]
+                if axis.fit is not None and clock is None:
+                    cut = is_train[a:b].index(False) if False in is_train[a:b] else b - a
+                    if cut:
+                        train.append((part.slice(0, cut), own[:cut]))
+                    if cut == b - a or not train:
+                        continue  # more TRAIN ticks may follow, or the key has none
+                    clock = yield from fit_train()
+                    train, part, own = [], part.slice(cut), own[cut:]
+                yield from ended(clock, part, own)
+        if train:
+            yield from fit_train()
 
     dealt = sent.select("key", "ts", "seq", "lc", "is_train", "__v", "__t").repartition("key").sortWithinPartitions("key", "ts", "seq")
     return dealt.mapInArrow(run, "key string, ts timestamp_ntz, seq long, lc double")
