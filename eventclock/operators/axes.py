@@ -397,6 +397,10 @@ def _folded(rows: DataFrame, name: str, axis: Axis, per_bar: int) -> DataFrame:
 
     A task reads the ticks of its keys in order, a batch at a time, and holds a clock.  Only
     where the fit is a search it holds a key's TRAIN ticks too, until the first tick behind them.
+
+    The numbers of a key's ticks are a window, so that the plan needs whole keys in order.  A
+    repartition by key is dropped where its input has been dealt by key already, for a join, say;
+    when that join becomes a broadcast as the plan runs, its shuffle is read in parts of a key.
     """
     column = "r" if name == "entropy" else "x"
     value = F.array("x", "q") if name == "vratio" else F.col(column)
@@ -414,7 +418,7 @@ def _folded(rows: DataFrame, name: str, axis: Axis, per_bar: int) -> DataFrame:
             yield part.take(pa.array(hits, pa.int64())).select(["key", "ts", "seq", "lc"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, clock, train = None, None, []  # train: a key's TRAIN ticks before its clock is fitted
+        clock, train = None, []  # train: a key's TRAIN ticks before its clock is fitted
 
         def fit_train():
             found = fitted(axis, [x for _, values in train for x in values], per_bar)
@@ -423,15 +427,15 @@ def _folded(rows: DataFrame, name: str, axis: Axis, per_bar: int) -> DataFrame:
             return found
 
         for batch in batches:
-            keys, is_train, values = (batch.column(i).to_pylist() for i in (0, 4, 5))
-            begins = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            is_train, values, numbers = (batch.column(i).to_pylist() for i in (4, 5, 7))
+            begins = [0, *(i for i in range(1, len(numbers)) if numbers[i] == 1), len(numbers)]
             for a, b in itertools.pairwise(begins):
                 if a == b:
                     continue
-                if keys[a] != key:
+                if numbers[a] == 1:
                     if train:
                         yield from fit_train()
-                    key, clock, train = keys[a], None, []
+                    clock, train = None, []
                     if axis.fit is None:
                         clock = axis.clock(batch.column(6)[a].as_py())
                 part, own = batch.slice(a, b - a), values[a:b]
@@ -447,7 +451,8 @@ def _folded(rows: DataFrame, name: str, axis: Axis, per_bar: int) -> DataFrame:
         if train:
             yield from fit_train()
 
-    dealt = sent.select("key", "ts", "seq", "lc", "is_train", "__v", "__t").repartition("key").sortWithinPartitions("key", "ts", "seq")
+    numbered = sent.select("key", "ts", "seq", "lc", "is_train", "__v", "__t", F.expr(f"row_number() OVER {K}").alias("__n"))
+    dealt = numbered.sortWithinPartitions("key", "ts", "seq")  # the order that the window leaves
     return dealt.mapInArrow(run, "key string, ts timestamp_ntz, seq long, lc double")
 
 
