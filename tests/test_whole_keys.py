@@ -19,7 +19,7 @@ def late_broadcast(spark):
         spark.conf.unset(k)
 
 
-@pytest.mark.parametrize("name", ["dollar", "logdollar"])
+@pytest.mark.parametrize("name", ["dollar", "logdollar", "range"])
 def test_a_key_is_never_read_in_parts(spark, duck, late_broadcast, name):
     ticks = tables.ticks(spark, DATA).repartition(4)  # several tasks hold ticks of each key
     found = axes.build(ticks, name, tables.TICK_CUTS[0]).collect()
